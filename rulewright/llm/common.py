@@ -56,3 +56,14 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+#: Ids up to this count (8 bytes each) are sent to every executor; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids (written, column key), without shuffling long texts for few ids."""
+    from pyspark.sql import functions as F
+
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")

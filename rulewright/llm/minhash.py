@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import link_buckets, multiple
-from .common import Scratch, small_batches
+from .common import Scratch, small_batches, with_ids
 from .words import FP_MASK, chunks, mix, shingle_sets
 
 SKETCH_BITS = 256
@@ -104,8 +104,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id"]), "representatives")
     members = scratch.keep(multiple(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))), "members")
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    nodes = scratch.keep(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, "doc_id")
+    texts = scratch.keep(texts.dropDuplicates(["doc_id"]), "texts")
     odd = reps.select("doc_id", "o0", "o1", "o2", "o3")
     side = lambda key, name: odd.select(F.col("doc_id").alias(key), *(F.col(f"o{i}").alias(f"{name}{i}") for i in range(4)))
 
