@@ -1,0 +1,27 @@
+"""Quotes held against their sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SHINGLE = 4
+
+
+def quotes_found(sources: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(source_id, quote_id) where the quote's text stands literally in the source's text.
+
+    Both have columns (id, text). A quote of SHINGLE + 2 words or more has inner words that are whole words of
+    any source that holds it, so sources and quotes meet in a hash join on a shingle of them and only
+    those pairs are compared; shorter quotes, whose words may be cut, are compared with every source.
+    """
+    inner = F.slice(F.split(F.col("text"), r"\s+"), 2, SHINGLE)
+    long_enough = F.size(F.split(F.col("text"), r"\s+")) >= SHINGLE + 2
+    named = quotes.select(F.col("id").alias("quote_id"), F.col("text").alias("quote"), F.when(long_enough, F.xxhash64(inner)).alias("shingle"))
+    words = sources.select(F.col("id").alias("source_id"), "text", F.split(F.col("text"), r"\s+").alias("words"))
+    at = F.explode_outer(F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(1), F.size("words") - SHINGLE + 1))).alias("at")
+    shingles = words.select("source_id", "words", at).select("source_id", F.xxhash64(F.slice("words", F.col("at"), SHINGLE)).alias("shingle"))
+    pairs = shingles.join(named.where("shingle is not null"), "shingle").select("source_id", "quote_id", "quote").distinct()
+    found = pairs.join(sources.select(F.col("id").alias("source_id"), "text"), "source_id").where(F.expr("contains(text, quote)"))
+    short = named.where("shingle is null").join(sources.select(F.col("id").alias("source_id"), "text"), F.expr("contains(text, quote)"))
+    return found.select("source_id", "quote_id").union(short.select("source_id", "quote_id")).distinct()
