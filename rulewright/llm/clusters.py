@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -54,11 +54,12 @@ def multiple(members: DataFrame) -> DataFrame:
     return members.join(keys.select("key", "hub"), "key")
 
 
-def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, marks: DataFrame, near: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
     """Components of the confirmed pairs in buckets, and the links that were confirmed.
 
     members: (key, node, hub) as from multiple(), written. confirm: takes candidate pairs (a, b), a < b,
-    and returns those that are links.
+    and returns those that are links. marks: (node, ...) what near() reads: whether the rows named by two
+    prefixes (x., y.) with the same key may be a link at all, true for one key only of those a pair shares.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = members.where("node <> hub").select(*pair("node", "hub")).distinct()
@@ -75,8 +76,13 @@ def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
         else:
             sizes = still.groupBy("key", "component").agg(F.count("*").alias("n"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top")).select("key", F.col("top.component").alias("main"))
-            rest = still.join(largest, "key").where("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("hub").alias("hx"))
-            pairs = still.join(rest, "key").where("component <> cx and node <> hub and x <> hx").select(*pair("node", "x")).distinct()
+            marked = scratch.keep(still.join(largest, "key").join(marks, "node"), "marked")
+            rest, all_ = marked.where("component <> main").alias("x"), marked.alias("y")
+            # two nodes outside the largest component meet once, not twice
+            order = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+            apart = (F.col("x.component") != F.col("y.component")) & order
+            pairs = rest.join(all_, (F.col("x.key") == F.col("y.key")) & apart & near("x", "y")).select(*pair("x.node", "y.node")).distinct()
+            pairs = scratch.keep(pairs, "pairs3")
         more = scratch.keep(confirm(pairs), f"links{step}")
         if more.isEmpty():
             if step == 2:

@@ -6,8 +6,9 @@ flips one bit, so that the XOR of two sketches counts the samples in which two d
 ``1 - d / k`` with ``d = -n/2 * ln(1 - 2 * popcount / n)`` estimates a high similarity closely.
 Documents with equal sets form a class by their set digest and are represented by their smallest id.
 Representatives that share a band are candidates (``clusters``), sketches reject the clearly
-different ones (a margin of six standard deviations below the threshold), and the rest are confirmed
-on their full shingle sets.
+different ones (four standard deviations beyond the threshold), a parity bitmap over the whole set rejects
+more without loss (its XOR counts at most the shingles that differ), and the rest are confirmed on their
+full shingle sets.
 
 Defined results: null and blank texts have an empty set and link with nothing; repeated rows of one id
 are one vertex; a null id is never linked and has a null component; other columns are not read.
@@ -15,11 +16,12 @@ are one vertex; a null id is never linked and has a null component; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import link_buckets, multiple
@@ -27,13 +29,18 @@ from .common import Scratch, small_batches, with_ids
 from .words import FP_MASK, chunks, mix, shingle_sets
 
 SKETCH_BITS = 256
+#: Samples in a sketch for each one in the bands.
+OVERSAMPLED = 1
+#: Bits of the parity bitmap over a whole shingle set, whose XOR never counts more than the sets differ by.
+PARITY_BITS = 2048
+_ODD = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 
-_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, o0 long, o1 long, o2 long, o3 long"
+_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>, " + ", ".join(f"{o} long" for o in _ODD)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(7)
-    k = bands * rows
+    k = bands * rows * OVERSAMPLED
     times, plus = rng.integers(0, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, k, dtype=np.uint64)
     for batch in batches:
         parts: list[list[np.ndarray]] = []
@@ -43,22 +50,25 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
             has = np.flatnonzero(n)
             at = np.searchsorted(doc, has)
             set_a, set_b = np.zeros(chunk.docs, np.uint64), np.zeros(chunk.docs, np.uint64)
-            band, odd = np.zeros((chunk.docs, bands), np.uint64), np.zeros((chunk.docs, 4), np.uint64)
+            band, odd = np.zeros((chunk.docs, bands), np.uint64), np.zeros((chunk.docs, len(_ODD)), np.uint64)
             if len(has):
                 mixed = mix(fp)
                 set_a[has], set_b[has] = np.add.reduceat(mixed, at), np.add.reduceat(mix(mixed + np.uint64(99)), at)
                 for j in range(k):
                     low = np.minimum.reduceat((mixed * times[j] + plus[j]) >> np.uint64(32), at)
-                    band[has, j // rows] = mix(band[has, j // rows] + low + np.uint64(j + 1))
+                    if j < bands * rows:
+                        band[has, j // rows] = mix(band[has, j // rows] + low + np.uint64(j + 1))
                     bit = mix(low + np.uint64((j + 1) << 32)) & np.uint64(SKETCH_BITS - 1)
                     odd[has, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
-            parts.append([n, set_a.view(np.int64), set_b.view(np.int64), band.view(np.int64), odd.view(np.int64), n > 0])
+            flips = np.bincount(doc * PARITY_BITS + (fp & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=chunk.docs * PARITY_BITS)
+            parity = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(chunk.docs, -1)
+            parts.append([n, set_a.view(np.int64), set_b.view(np.int64), band.view(np.int64), odd.view(np.int64), parity, n > 0])
         if not parts:
             continue
-        n, set_a, set_b, band, odd, some = (np.concatenate(x) for x in zip(*parts, strict=True))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)), pa.array(band[some].ravel()))
-        columns = [batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(set_a), pa.array(set_b), lists, *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(4))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "o0", "o1", "o2", "o3"])
+        n, set_a, set_b, band, odd, parity, some = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * x.shape[1]))).astype(np.int32)), pa.array(x[some].ravel()))  # noqa: B023, E731
+        columns = [batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(set_a), pa.array(set_b), lists(band), lists(parity), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(len(_ODD)))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity", *_ODD])
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -81,14 +91,28 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(hits, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def sketch_filter(percent: int, samples: int):
-    """Keep pairs whose estimated similarity is within six standard deviations of the threshold."""
-    j = percent / 100
-    least = j - 6 * (j * (1 - j) / samples) ** 0.5
-    flips = SKETCH_BITS / 2 * (1 - np.exp(-2 * samples * (1 - least) / SKETCH_BITS))
-    spread = 3 * (flips * (1 - flips / SKETCH_BITS)) ** 0.5
-    distance = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, 4)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    return distance <= F.lit(int(flips + spread))
+def sketch_limit(percent: int, samples: int) -> int:
+    """The most set bits in the XOR of two sketches: four standard deviations above the mean at the threshold.
+
+    Each sample that differs flips a bit in either sketch, and bits flipped twice are not seen.
+    """
+    differ = 1 - percent / 100
+    seen = math.exp(-4 * samples * differ / SKETCH_BITS)
+    mean = SKETCH_BITS / 2 * (1 - seen)
+    spread = (2 * seen) ** 2 * samples * differ * (1 - differ) + mean * (1 - mean / SKETCH_BITS) / 4
+    return math.ceil(mean + 4 * spread**0.5)
+
+
+def sketch_distance(x: str, y: str) -> Column:
+    bits = [F.bit_count(F.col(f"{x}{o}").bitwiseXOR(F.col(f"{y}{o}"))) for o in _ODD]
+    return sum(bits[1:], bits[0])
+
+
+def parity_allows(x: str, y: str, percent: int) -> Column:
+    """Can two sets still be similar enough? Their sizes bound how much they may differ, the XOR shows part of it."""
+    total, smaller = F.col(f"{x}n_shingles") + F.col(f"{y}n_shingles"), F.least(f"{x}n_shingles", f"{y}n_shingles")
+    seen = F.aggregate(F.zip_with(f"{x}parity", f"{y}parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
+    return (100 * smaller >= percent * (total - smaller)) & (seen * (100 + percent) <= total * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 21, rows: int = 6) -> DataFrame:
@@ -107,15 +131,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     nodes = scratch.keep(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, "doc_id")
     texts = scratch.keep(texts.dropDuplicates(["doc_id"]), "texts")
-    odd = reps.select("doc_id", "o0", "o1", "o2", "o3")
-    side = lambda key, name: odd.select(F.col("doc_id").alias(key), *(F.col(f"o{i}").alias(f"{name}{i}") for i in range(4)))
+    limit = sketch_limit(percent, bands * rows * OVERSAMPLED)
+    marks = ["n_shingles", "parity", *_ODD]
+    side = lambda key, name: reps.select(F.col("doc_id").alias(key), *(F.col(o).alias(name + o) for o in marks))
+
+    def alike(x: str, y: str) -> Column:
+        return (sketch_distance(x, y) <= limit) & parity_allows(x, y, percent)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(sketch_filter(percent, bands * rows)).select("a", "b")
+        near = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(alike("x", "y")).select("a", "b")
         full = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, words, percent), "a long, b long")
 
-    labels, _ = link_buckets(members, confirm, scratch)
+    def may_link(x: str, y: str) -> Column:
+        shared = F.array_min(F.array_intersect(f"{x}.bands", f"{y}.bands"))
+        return alike(f"{x}.", f"{y}.") & (shared == F.col(f"{x}.key"))
+
+    labels, _ = link_buckets(members, confirm, scratch, reps.select(F.col("doc_id").alias("node"), "bands", *marks), may_link)
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", *digest).join(named, digest, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
