@@ -27,9 +27,26 @@ def mask_email(text: Column) -> Column:
 
 
 def units_in(description: Column) -> Column:
-    """Dwelling units in a type code such as 4-S-BT-21U-H: the sum of the numbers in front of a U."""
-    found = F.regexp_extract_all(description, F.lit(r"(\d+)U(?:-|/|$)"), F.lit(1))
-    return F.when(F.size(found) > 0, F.aggregate(F.transform(found, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x))
+    """Dwelling units in a type code such as 4-S-BT-21U-H: the sum of the numbers in front of a U; a letter O is a zero."""
+    found = F.regexp_extract_all(description, F.lit(r"(?:^|[-/ ])([0-9][0-9O]*)U(?=-|/|$)"), F.lit(1))
+    numbers = F.transform(found, lambda x: F.translate(x, "O", "0").cast("long"))
+    return F.when(F.size(found) > 0, F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def base_citation(citation: Column) -> Column:
+    """A citation without its trailing subsections: (a)(1), .G."""
+    return F.regexp_replace(F.regexp_replace(citation, r"\s*(?:\([A-Za-z0-9]+\))+$", ""), r"\.[A-Z]$", "")
+
+
+def plain_name(name: Column) -> Column:
+    """Lower case; runs of anything but letters, digits, the section sign and dots as one space."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9§.]+", " "))
+
+
+def figures_kept(summary: Column, source: Column) -> Column:
+    """Whether every number of a summary stands in its source."""
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0))
+    return F.size(F.array_except(numbers(summary), numbers(source))) == 0
 
 
 def whole_years(since: Column, at: Column) -> Column:

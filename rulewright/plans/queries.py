@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import kleene, text
-from ..operators import coverage, evidence, market, quotes, rules, status
+from ..functions import kleene, spanish, text
+from ..operators import coverage, evidence, market, merging, precedence, quotes, rules, status
 from ..sources.readers import json_records, table
 from ..streaming import token_bucket
 
@@ -319,3 +319,120 @@ def label_review_flags(spark, d):
 @query(None)
 def token_bucket_decisions(spark, d):
     return token_bucket.decide(table(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+# Rules of the precedence queries: number, id, coverage of its own, base citation, category, status, confidence.
+LAWS = [
+    (1, "A", False, "S1", "rent", "in_force", 0.9), (2, "B", False, "S1", "rent", "in_force", 0.8), (3, "C", True, "S2", "evict", "in_force", 0.0),
+    (4, "D", True, "L1", "rent", "in_force", 0.95), (5, "E", False, "L2", "evict", "in_force", 0.55), (6, "F", True, "L3", "rent", "pending", 0.7), (7, "G", False, "L4", "fees", "in_force", None),
+]
+OTHER_LAW, DEPENDS, YIELDS, PAIRS = {"A": ["D", "F"], "C": ["E"]}, {"G": ["D"]}, {"C": ["D", "E"], "E": ["D"]}, [("A", "D"), ("C", "E")]
+_REACHES = "CASE (address * rule_ord + rule_ord) % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'not_covered' WHEN 2 THEN CASE WHEN address % 3 = 0 THEN 'exempt' ELSE 'unknown' END ELSE 'covered' END"
+
+
+def _values(edges) -> str:
+    return "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in edges.items() for b in bs) + ") v(src, dst)"
+
+
+def _give_way(new: str, old: str, edges, basis: str) -> str:
+    """One pass of giving way, as joins."""
+    return f"""{new}_c AS (SELECT s.address, s.rule_id, min((t.result <> 'applies')::int::varchar || (NOT t.own)::int::varchar || t.rule_id) FILTER (WHERE t.verdict = 'covered') AS best,
+    list(t.rule_id ORDER BY t.rule_id) FILTER (WHERE t.verdict = 'unknown') AS maybe
+  FROM {old} s JOIN {_values(edges)} ON s.rule_id = src JOIN {old} t ON t.address = s.address AND t.rule_id = dst WHERE t.status = 'in_force' AND t.result IS NOT NULL AND s.result IN ('applies', 'unknown') GROUP BY 1, 2),
+{new} AS (SELECT {old}.* REPLACE (CASE WHEN best IS NOT NULL THEN 'superseded' ELSE result END AS result, coalesce(best[3:], superseded_by) AS superseded_by, CASE WHEN best IS NOT NULL THEN '{basis}' ELSE basis END AS basis,
+    CASE WHEN best IS NULL THEN list_distinct(may || coalesce(maybe, [])) ELSE may END AS may) FROM {old} LEFT JOIN {new}_c USING (address, rule_id))"""
+
+
+_PRECEDENCE = f"""WITH laws AS (SELECT * FROM (VALUES {", ".join(str(x).replace("None", "NULL") for x in LAWS)}) l(rule_ord, rule_id, own, base, category, status, confidence)),
+e AS (SELECT c_custkey AS address, c_custkey % 50 = 0 AS fallback, laws.* FROM customer, laws), f AS (SELECT *, {_REACHES} AS verdict FROM e),
+p0 AS (SELECT *, CASE WHEN verdict IN ('not_covered', 'exempt') THEN NULL WHEN status = 'pending' THEN 'pending' WHEN verdict = 'covered' THEN 'applies' ELSE 'unknown' END AS result,
+  NULL::varchar AS superseded_by, NULL::varchar AS basis, []::varchar[] AS may FROM f),
+{_give_way("p1", "p0", OTHER_LAW, "other_law")},
+p2_c AS (SELECT s.address, s.rule_id, bool_or(coalesce(t.result = 'applies', false)) AS via, bool_or(t.result IS NOT NULL AND (t.result = 'unknown' OR t.verdict = 'unknown')) AS undecided
+  FROM p1 s JOIN {_values(DEPENDS)} ON s.rule_id = src JOIN p1 t ON t.address = s.address AND t.rule_id = dst GROUP BY 1, 2),
+p2 AS (SELECT p1.* REPLACE (CASE WHEN via IS NULL OR via THEN result WHEN undecided AND result = 'applies' THEN 'unknown' WHEN undecided THEN result END AS result) FROM p1 LEFT JOIN p2_c USING (address, rule_id)),
+{_give_way("p3", "p2", YIELDS, "overrides")},
+p4_c AS (SELECT s.address, s.rule_id, min(t.rule_id) FILTER (WHERE t.own) AS b1, min(t.rule_id) AS b2
+  FROM p3 s JOIN (SELECT * FROM {_values(OTHER_LAW)} UNION SELECT * FROM {_values(YIELDS)}) ON s.rule_id = src JOIN p3 t ON t.address = s.address AND t.rule_id = dst
+  JOIN p3 u ON u.address = s.address AND u.rule_id = s.superseded_by WHERE u.result IS DISTINCT FROM 'applies' AND t.status = 'in_force' AND t.result = 'applies' AND t.verdict = 'covered' GROUP BY 1, 2),
+p4 AS (SELECT p3.* REPLACE (CASE WHEN result = 'superseded' THEN coalesce(b1, b2, superseded_by) ELSE superseded_by END AS superseded_by) FROM p3 LEFT JOIN p4_c USING (address, rule_id)),
+p5_c AS (SELECT s.address, s.rule_id, arg_min(t.rule_id, t.rule_ord) AS kin, arg_min(t.superseded_by, t.rule_ord) AS over FROM p4 s JOIN p4 t ON t.address = s.address AND t.base = s.base AND t.category = s.category AND t.rule_id <> s.rule_id
+  WHERE t.result = 'superseded' AND s.result IN ('applies', 'unknown') AND s.status = 'in_force' GROUP BY 1, 2),
+p5 AS (SELECT p4.* REPLACE (CASE WHEN kin IS NULL THEN result ELSE 'superseded' END AS result, coalesce(over, superseded_by) AS superseded_by, coalesce('same_law:' || kin, basis) AS basis) FROM p4 LEFT JOIN p5_c USING (address, rule_id)),
+p6 AS (SELECT s.*, EXISTS (SELECT 1 FROM p5 t JOIN (VALUES ('A', 'D'), ('D', 'A'), ('C', 'E'), ('E', 'C')) v(a, b) ON t.rule_id = v.b WHERE t.address = s.address AND v.a = s.rule_id AND t.result IS NOT NULL) AS conflict FROM p5 s WHERE s.result IS NOT NULL)"""
+
+
+def precedence_rows(spark: SparkSession, d: str) -> DataFrame:
+    law = [F.struct(*(F.lit(v).alias(k) for k, v in zip(("rule_ord", "rule_id", "own", "base", "category", "status"), x, strict=False)), F.lit(x[-1]).cast("double").alias("confidence")) for x in LAWS]
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("address"), (F.col("c_custkey") % 50 == 0).alias("fallback"), F.explode(F.array(*law)).alias("law")).select("address", "fallback", "law.*")
+    rows = rows.withColumn("verdict", F.expr(_REACHES)).withColumn("coverage_confidence", F.when(F.col("verdict") == "unknown", 0.8).otherwise(1.0))
+    return precedence.resolve(rows, OTHER_LAW, DEPENDS, YIELDS, PAIRS)
+
+
+@query(_PRECEDENCE + """ SELECT address, rule_id, result, superseded_by, basis, list_aggregate(list_sort(may), 'string_agg', ',') AS may_yield_to, conflict FROM p6""")
+def precedence_superseded(spark, d):
+    may = F.when(F.size("may_yield_to") > 0, F.array_join(F.array_sort("may_yield_to"), ","))
+    return precedence_rows(spark, d).select("address", "rule_id", "result", "superseded_by", "basis", may.alias("may_yield_to"), "conflict")
+
+
+@query(_PRECEDENCE + """, c AS (SELECT address, rule_id, round(CASE WHEN coalesce(confidence, 0) = 0 THEN 1.0 ELSE confidence::double END * CASE WHEN verdict = 'unknown' THEN 0.8 ELSE 1.0 END::double * CASE WHEN fallback THEN 0.85 ELSE 1.0 END::double, 3) AS confidence FROM p6)
+  SELECT address, rule_id, confidence, confidence < 0.5 AS needs_review FROM c""")
+def confidence_product(spark, d):
+    return precedence_rows(spark, d).select("address", "rule_id", "confidence", "needs_review")
+
+
+@query("""WITH RECURSIVE m AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey - n_nationkey % 4 // 2 - 1 END AS nxt FROM nation),
+  walk AS (SELECT k, k AS last FROM m UNION ALL SELECT walk.k, m.nxt FROM walk JOIN m ON m.k = walk.last WHERE m.nxt IS NOT NULL)
+  SELECT k, last FROM walk WHERE last IN (SELECT k FROM m WHERE nxt IS NULL)""")
+def merge_chain_follow(spark, d):
+    k = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(k.alias("k"), F.when(k % 4 != 0, k - F.floor((k % 4) / 2).cast("int") - 1).alias("into"))
+    return merging.follow(rows, "k", "into")
+
+
+@query(None)
+def merge_clusters(spark, d):
+    value, day = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 5), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") % 3)
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", value.alias("key_value"), day.alias("effective"))
+    return merging.merge_clusters(rows, ["p_brand"], "p_type", "key_value", "effective", "p_partkey")
+
+
+def _words(n: int) -> str:
+    tens = lambda r: spanish.UNITS[r] if r < 30 else spanish.TENS[r // 10] + (f" y {spanish.UNITS[r % 10]}" if r % 10 else "")
+    return "cien" if n == 100 else f"{spanish.HUNDREDS[n // 100]} {tens(n % 100)}".strip()
+
+
+@query(f"""WITH w AS (SELECT [{", ".join(f"'{_words(n)}'" for n in range(1000))}] AS w), o AS (SELECT o_orderkey, o_totalprice::decimal(18,2) AS a, floor(o_totalprice::decimal(18,2))::bigint AS p FROM orders)
+  SELECT o_orderkey, upper(CASE WHEN p = 0 THEN 'cero' ELSE concat_ws(' ', CASE WHEN p // 1000000 = 1 THEN 'un millón' WHEN p // 1000000 > 1 THEN w[p // 1000000 + 1] || ' millones' END,
+    CASE WHEN p // 1000 % 1000 = 1 THEN 'mil' WHEN p // 1000 % 1000 > 1 THEN w[p // 1000 % 1000 + 1] || ' mil' END, CASE WHEN p % 1000 > 0 THEN w[p % 1000 + 1] END) END
+    || CASE WHEN p >= 1000000 AND p % 1000000 = 0 THEN ' de' ELSE '' END || ' pesos ' || lpad(((a - p) * 100)::int::varchar, 2, '0') || '/100 M.N.') AS words FROM o, w""")
+def money_words(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", spanish.money_words(F.col("o_totalprice")).alias("words"))
+
+
+_CITE = "concat('§ ', p_partkey, CASE p_size % 4 WHEN 0 THEN '(a)(1)' WHEN 1 THEN '.G' WHEN 2 THEN ' (b)' ELSE '.12' END)"
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace({_CITE}, '\\s*(\\([A-Za-z0-9]+\\))+$', ''), '\\.[A-Z]$', '') AS base FROM part")
+def citation_base(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.base_citation(F.expr(_CITE)).alias("base"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & Co. § 4'), '[^a-z0-9§.]+', ' ', 'g')) AS name FROM part")
+def name_normalize(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.plain_name(F.concat("p_name", F.lit(" & Co. § 4"))).alias("name"))
+
+
+_DESC = "concat(p_size, 'S-F', CASE WHEN p_partkey % 4 <> 0 THEN concat('-', p_partkey % 30, 'U') ELSE '' END, CASE p_partkey % 8 WHEN 1 THEN concat('/2F-', p_size, 'U') WHEN 3 THEN '-1OU' WHEN 4 THEN '-3UG' ELSE '-H' END)"
+
+
+@query(f"SELECT p_partkey, list_sum(list_transform(regexp_extract_all({_DESC}, '(?:^|[-/ ])([0-9][0-9O]*)U\\b', 1), lambda x: replace(x, 'O', '0')::bigint))::bigint AS units FROM part")
+def parse_units_desc(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.units_in(F.expr(_DESC)).alias("units"))
+
+
+@query("""WITH t AS (SELECT doc_id, text, left(text, 100) || CASE WHEN doc_id % 3 = 0 THEN ' 987654' ELSE '' END AS s FROM documents)
+  SELECT doc_id, len(list_filter(regexp_extract_all(s, '[0-9]+'), lambda x: NOT list_contains(regexp_extract_all(text, '[0-9]+'), x))) = 0 AS kept FROM t""")
+def figure_guard(spark, d):
+    summary = F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 3 == 0, " 987654").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", text.figures_kept(summary, F.col("text")).alias("kept"))
