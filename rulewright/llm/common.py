@@ -23,10 +23,11 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
-        known = tempfile.mkdtemp(prefix="rulewright-")
-        spark.conf.set("spark.checkpoint.dir", known)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rulewright-"))
+        known = context.getCheckpointDir()
     return known.rstrip("/")
 
 
