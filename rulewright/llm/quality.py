@@ -1,11 +1,12 @@
 """Quality rules: surface rules, then a hashed n-gram log-likelihood ratio.
 
 Features are hashed words and word pairs. Two multinomials over the same buckets are counted: the raw
-corpus (every document) and the trusted target (a bounded sample of documents labelled good and not
-toxic: the ``sample`` rows with the smallest id hashes). A document's score is the mean over its
+corpus (every document) and the trusted target (the documents labelled good and not toxic; with
+``sample``, only as many, those with the smallest id hashes). A document's score is the mean over its
 features of log p_target - log p_raw, in units of 2**-20 so that sums are exact; it passes at
-``threshold`` or more. Counts are added up per task before the shuffle, and the model has a fixed
-number of buckets, whatever the corpus.
+``threshold`` or more. Counts are added up per task before the shuffle. The number of buckets grows with
+the square root of the target's length, as its vocabulary does: with too few, junk shares the buckets of
+good words; with too many for the target, good documents outside of it score like junk.
 
 Defined results: a null or blank text has no words, fails the surface rules and scores 0; repeated rows
 are counted and judged each by itself; without any trusted row every score is 0; a null id is judged
@@ -14,6 +15,7 @@ like any other row; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import BROADCAST_IDS, small_batches
 from .words import Chunk, chunks, windows
 
-BUCKET_BITS = 13
+#: Least bits of a bucket number, and buckets for the square root of the target's characters.
+LEAST_BITS = 13
+BUCKETS_PER_ROOT = 50
 UNIT = 1 << 20
 #: Characters that count as symbols.
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -35,38 +39,47 @@ _IS_SYMBOL = np.isin(np.arange(256), SYMBOLS)
 _VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score_units long, n_features long"
 
 
-def _features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def table_bits(target_chars: int) -> int:
+    """Bits of a bucket number for a target of so many characters."""
+    return max(LEAST_BITS, round(math.log2(BUCKETS_PER_ROOT * math.sqrt(max(target_chars, 1)))))
+
+
+def _features(chunk: Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and document of every feature, and the word hashes."""
     word = chunk.span_hash(chunk.start, chunk.end)
     pair, first = windows(word, chunk.doc, 2)
-    feature = np.concatenate((word, pair)) >> np.uint64(64 - BUCKET_BITS)
+    feature = np.concatenate((word, pair)) >> np.uint64(64 - bits)
     return feature.astype(np.int64), np.concatenate((chunk.doc, chunk.doc[first] if len(first) else first)), word
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 1 << BUCKET_BITS
+def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    size = 1 << bits
     raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for batch in batches:
         trusted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
         for chunk in chunks(batch.column(0)):
-            feature, doc, _ = _features(chunk)
+            feature, doc, _ = _features(chunk, bits)
             raw += np.bincount(feature, minlength=size)
             target += np.bincount(feature[trusted[chunk.first + doc]], minlength=size)
     used = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
-    """Log-likelihood ratio of every bucket, in units. sample: most labelled rows that the target is fitted on."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> np.ndarray:
+    """Log-likelihood ratio of every bucket, in units. sample: most labelled rows that the target is fitted on, all if None."""
     small_batches(docs.sparkSession)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    good = good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(sample)
+    good = good if sample is None else good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(sample)
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    good = F.broadcast(good) if few else good
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.join(F.broadcast(good), rows["doc_id"] == good["trusted_id"], "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
-    counted = rows.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    for r in counted.collect():  # one row per bucket at most
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    rows = rows.join(good, rows["doc_id"] == good["trusted_id"], "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
+    bits = table_bits(rows.where("trusted").agg(F.sum(F.length("text"))).first()[0] or 0)
+    counted = rows.mapInArrow(lambda it: _counts(it, bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    rows = counted.toArrow()  # one row per bucket at most
+    bucket = rows["bucket"].to_numpy()
+    raw[bucket], target[bucket] = rows["raw"].to_numpy(), rows["target"].to_numpy()
     if not target.sum():
         return np.zeros(len(raw), np.int64)
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * len(raw))) - np.log((raw + 0.5) / (raw.sum() + 0.5 * len(raw)))
@@ -116,7 +129,7 @@ def _judge(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
     for batch in batches:
         parts = []
         for chunk in chunks(batch.column(1)):
-            feature, doc, word = _features(chunk)
+            feature, doc, word = _features(chunk, len(ratio).bit_length() - 1)
             score = np.zeros(chunk.docs, np.int64)
             np.add.at(score, doc, ratio[feature])
             code_points = (~chunk.blank) & ((chunk.data & 0xC0) != 0x80)
@@ -126,7 +139,7 @@ def _judge(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [x.split()[0] for x in _VERDICT.split(", ")])
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int | None = None) -> DataFrame:
     """doc_id, the surface counts, base_failed, score (mean log-likelihood ratio) and kept, per row of docs."""
     ratio = fit(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

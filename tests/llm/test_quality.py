@@ -42,3 +42,21 @@ def test_junk_scores_below_prose(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(i, 0, 0) for i in range(60, 70)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()}
     assert kept == set(range(60))
+
+
+def test_labelled_junk_goes_and_held_out_good_stays(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = labels.where("xxhash64(doc_id) % 2 = 0")
+    scored = quality.judge(docs, half).where("not base_failed").join(labels, "doc_id")
+    junk = [r.kept for r in scored.where("quality = 0").collect()]
+    held = [r.kept for r in scored.join(half, "doc_id", "left_anti").where("quality = 1 and coalesce(toxic, 0) = 0").collect()]
+    assert len(junk) > 200 and not any(junk)
+    assert len(held) > 1000 and sum(held) >= 0.95 * len(held)
+
+
+def test_table_grows_with_the_target(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7919 + j * j) % 50000}" for j in range(2000))) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    sizes = [len(quality.fit(docs, labels.where(f"doc_id < {n}"))) for n in (1, 100)]
+    assert sizes[0] < sizes[1]
