@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece's sequence and place in it."""
-    return packing.pack_documents(docs, with_ids=False)
+    return packing.pack_documents(docs, with_ids=False, added=packing.tokenizer_file())
 
 
 STAGES = [

@@ -15,6 +15,7 @@ repeated rows and null ids are packed row by row; other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,13 +32,26 @@ _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str, added: str | None = None):
+    """Text to ids. added: a tokenizer file; its added tokens are then found in texts as tokenizers finds them."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {}
+    if added:
+        with open(added, encoding="utf-8") as f:
+            tokens = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):  # what tiktoken cannot express
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(added)
+            return lambda text: whole.encode(text, add_special_tokens=False).ids
+        special = {t["content"]: t["id"] for t in tokens}
+        ranks = {k: v for k, v in ranks.items() if v not in special.values()}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return (lambda text: encoding.encode(text, allowed_special="all")) if special else encoding.encode_ordinary
 
 
 def vocabulary() -> str:
@@ -47,8 +61,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
-    encode = _encoder(path).encode_ordinary
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int, added: str | None) -> Iterator[pa.RecordBatch]:
+    encode = _encoder(path, added)
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
         for doc_id, text in zip(doc_ids, batch.column(1).to_pylist(), strict=True):
@@ -60,15 +80,16 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
 
-def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, added: str | None = None) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every piece of every document.
 
-    The first piece of a document that is cut takes what is left over; the others are full.
+    The first piece of a document that is cut takes what is left over; the others are full. added: the
+    tokenizer file whose added tokens get their ids; without it, their strings are ordinary text.
     """
     small_batches(docs.sparkSession)
     where = path or vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _cut(it, where, size), _PIECES)
+    return rows.mapInArrow(lambda it: _cut(it, where, size, added), _PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -146,10 +167,10 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     return ranked.mapInArrow(lambda it: _place(it, plan), f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = True, added: str | None = None) -> DataFrame:
     """Pieces with their place; with_ids: the token ids too, else their CRC-32 only."""
     scratch = Scratch(docs.sparkSession, "packing")
-    parts = pieces(docs, size, path)
+    parts = pieces(docs, size, path, added)
     parts = parts if with_ids else parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(scratch.keep(parts, "pieces"), size)
 

@@ -28,7 +28,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False, added=packing.tokenizer_file())
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
