@@ -86,20 +86,23 @@ def suspicious(value: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of start, stop, kind number, value; sorted) of every row of docs."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return spans_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))).select("doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    """rows (__text, not null, and more columns) with __base, the spans of the patterns, and __spans, those and the entropy spans."""
     none = F.array().cast(_SPAN)
     where = lambda test, spans: F.when(test, spans).otherwise(none)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    text = F.col("text")
+    text = F.col("__text")
     assign = F.filter(found(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
     base = F.concat(where(text.rlike(ASSIGN), assign), where(text.contains("AKIA"), found(text, ACCESS, 1)), where(text.rlike(HEX), found(text, HEX, 2)))
     # a digit among 19 others of a candidate; the exact test is made on each candidate
     maybe = text.rlike(r"[A-Za-z0-9+/_=-]{20}") & text.rlike(r"[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]")
-    rows = rows.select("doc_id", "text", base.alias("base"), where(maybe, F.filter(found(text, CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]"))).alias("runs"))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    more = F.when(F.size("runs") > 0, F.filter("runs", lambda s: suspicious(s["value"]) & free(s))).otherwise(none)
+    rows = rows.withColumn("__base", base).withColumn("__runs", where(maybe, F.filter(found(text, CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]"))))
+    free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    more = F.when(F.size("__runs") > 0, F.filter("__runs", lambda s: suspicious(s["value"]) & free(s))).otherwise(none)
     order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["stop"], s["value"])))
-    return rows.select("doc_id", order("base").alias("base"), order(F.concat("base", more)).alias("spans"))
+    return rows.withColumn("__spans", order(F.concat("__base", more))).withColumn("__base", order("__base")).drop("__runs")
 
 
 def digest(spans: Column) -> Column:
@@ -116,9 +119,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every span replaced, columns as they came."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__spans", scan_column(text))
+    """docs with every span that scan() finds replaced, columns as they came."""
+    rows = spans_of(docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    text = F.col("__text")
 
     def cut(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
@@ -128,9 +131,3 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
     masked = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     return rows.withColumn("text", F.when(F.size("__spans") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
-
-
-def scan_column(text: Column) -> Column:
-    """The base spans of a text as an expression, sorted by place."""
-    assign = F.filter(found(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
-    return F.array_sort(F.concat(assign, found(text, ACCESS, 1), found(text, HEX, 2)))

@@ -49,3 +49,11 @@ def test_matches_brute_force(spark):
     out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert out[2] == "[secret]: \"abcdefghij\"" and out[0] is None
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_redact_takes_entropy_spans_too(spark):
+    text = "the key is Zx9kQ2mV7bT4wR8yL1nP5sD3 here, \U0001d4b3 and q7W2e9R4t1Y8u3I6o5P0aSdF."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "plain words")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.report(docs).collect()}[1].count("entropy") == 2
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert out == {1: "the key is [secret] here, \U0001d4b3 and [secret].", 2: None, 3: "plain words"}
