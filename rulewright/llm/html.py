@@ -44,6 +44,8 @@ FURNITURE_WORDS = {
     "sponsored", "subscribe", "subscription", "toc", "toolbar", "widget",
 }
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: What head can hold; any other opening tag, or text, closes it.
+IN_HEAD = {"head", "base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title"}
 #: An opening tag closes an open element of these names, up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -78,7 +80,16 @@ class _Blocks(HTMLParser):
                 break
         return 0
 
+    def close_head(self) -> None:
+        """Closes head unless an element inside it is open; what follows then belongs to the body."""
+        if self.stack[-1][0] == "head":
+            self.pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" and (at := self.find({"head"}, {"template", "svg", "math"})):
+            self.pop_to(at)
+        elif tag not in IN_HEAD:
+            self.close_head()
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -108,6 +119,8 @@ class _Blocks(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self.close_head()
         if not self.stack[-1][1]:
             self.text.append(data)
             if self.stack[-1][4]:

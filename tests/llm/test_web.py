@@ -75,3 +75,13 @@ def test_url_verdicts_match_every_rule_run_on_every_url(spark):
             assert (r.host, r.path, r.rule, r.verdict) == brute_url(urls[r.page_id]), urls[r.page_id]
     assert urlfilter.judge(pages.limit(0)).collect() == []
     assert all(urlfilter.tokens_of(p) for p in ("/ads/", "||doubleclick.net^", "/login^"))
+
+
+def test_head_ends_where_html_ends_it(spark):
+    body = "<article><h1>A title</h1><p>The first paragraph has a good number of words in it, as they do.<p>Another one follows it here.</article>"
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style><script>var x='<p>no</p>'</script><noscript><link href=a></noscript>\n"
+    pages = [head + "</head><body>" + body, head + "<body>" + body, head + body, "<head><title>T</title>" + body, "<head><noscript><link href=a><body>" + body]
+    got = html.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+    want = "A title\nThe first paragraph has a good number of words in it, as they do.\nAnother one follows it here."
+    assert [r.text for r in sorted(got, key=lambda r: r.page_id)] == [want] * len(pages)
+    assert [b[0] for b in html.blocks_of("<head><title>T</title>Loose text <b>bold</b>")] == ["Loose text bold"]
