@@ -19,10 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, few_broadcast
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for every node in an edge.
 
     Large-star and small-star contraction in turn: each round is two shuffles with map-side minimums,
@@ -45,13 +45,19 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         if sums == before:
             break
         before = sums
+    else:
+        if before[0]:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def multiple(members: DataFrame) -> DataFrame:
-    """The members (key, node) of keys that hold two different nodes or more."""
-    keys = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    return members.join(keys.select("key", "hub"), "key")
+def multiple(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (key, node) of keys that hold two different nodes or more, with their smallest as hub.
+
+    members is computed twice, but crosses the network only once where few keys are left.
+    """
+    keys = scratch.keep(members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"), "keys")
+    return members.join(few_broadcast(keys), "key")
 
 
 def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, marks: DataFrame, near: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:

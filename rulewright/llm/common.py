@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts are long, so batches are kept small to bound worker memory.
 ARROW_ROWS = 256
@@ -22,10 +23,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one if all run on this machine."""
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rulewright-"))
         known = context.getCheckpointDir()
     return known.rstrip("/")
@@ -45,7 +48,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -58,13 +61,16 @@ class Scratch:
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
+
 #: Ids up to this count (8 bytes each) are sent to every executor; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 
+def few_broadcast(df: DataFrame) -> DataFrame:
+    """df (written, a few numbers a row) marked for sending to every executor, if a count says that it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+
+
 def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of df whose key is in ids (written, column key), without shuffling long texts for few ids."""
-    from pyspark.sql import functions as F
-
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(few_broadcast(ids), key, "left_semi")

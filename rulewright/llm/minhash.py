@@ -10,8 +10,8 @@ different ones (four standard deviations beyond the threshold), a parity bitmap
 more without loss (its XOR counts at most the shingles that differ), and the rest are confirmed on their
 full shingle sets.
 
-Defined results: null and blank texts have an empty set and link with nothing; repeated rows of one id
-are one vertex; a null id is never linked and has a null component; other columns are not read.
+Defined results: null and blank texts have an empty set and link with nothing; rows of one id
+are one vertex (with unlike texts it is compared by the one of the smallest hash, and each of them joins its copies); a null id is never linked and has a null component; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clusters import link_buckets, multiple
@@ -35,7 +35,7 @@ OVERSAMPLED = 1
 PARITY_BITS = 2048
 _ODD = [f"o{i}" for i in range(SKETCH_BITS // 64)]
 
-_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>, " + ", ".join(f"{o} long" for o in _ODD)
+_SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>, " + ", ".join(f"{o} long" for o in _ODD)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
     times, plus = rng.integers(0, 1 << 62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, k, dtype=np.uint64)
     for batch in batches:
         parts: list[list[np.ndarray]] = []
-        for chunk in chunks(batch.column(1), lower=True):
+        for chunk in chunks(batch.column(2), lower=True):
             fp, doc = shingle_sets(chunk, words)
             n = np.bincount(doc, minlength=chunk.docs)
             has = np.flatnonzero(n)
@@ -67,14 +67,24 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
             continue
         n, set_a, set_b, band, odd, parity, some = (np.concatenate(x) for x in zip(*parts, strict=True))
         lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * x.shape[1]))).astype(np.int32)), pa.array(x[some].ravel()))  # noqa: B023, E731
-        columns = [batch.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(set_a), pa.array(set_b), lists(band), lists(parity), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(len(_ODD)))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity", *_ODD])
+        columns = [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(set_a), pa.array(set_b), lists(band), lists(parity), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(len(_ODD)))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "parity", *_ODD])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row of each id, that of the smallest text hash: the same one wherever rows are picked."""
+    order = Window.partitionBy("doc_id").orderBy("text_hash")
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "text_hash")
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """Set size and digest, band hashes and odd sketch of every document."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _signatures(it, words, bands, rows), _SIGNATURE)
+    return _texts(docs).mapInArrow(lambda it: _signatures(it, words, bands, rows), _SIGNATURE)
 
 
 def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -126,11 +136,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sig = scratch.keep(signatures(docs, words, bands, rows), "signatures")
     digest = ["n_shingles", "set_a", "set_b"]
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    reps = scratch.keep(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    members = scratch.keep(multiple(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))), "members")
+    reps = scratch.keep(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *digest], "left_semi").transform(_one_each), "representatives")
+    members = scratch.keep(multiple(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), scratch), "members")
     nodes = scratch.keep(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    texts = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), nodes, "doc_id")
-    texts = scratch.keep(texts.dropDuplicates(["doc_id"]), "texts")
+    texts = scratch.keep(_one_each(with_ids(_texts(docs), nodes, "doc_id")), "texts")
     limit = sketch_limit(percent, bands * rows * OVERSAMPLED)
     marks = ["n_shingles", "parity", *_ODD]
     side = lambda key, name: reps.select(F.col("doc_id").alias(key), *(F.col(o).alias(name + o) for o in marks))
