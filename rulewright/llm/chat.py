@@ -5,7 +5,8 @@ parser that knows the grammar only: a turn must start with the opening mark, its
 newline, its text ends at the first closing mark, and no control string may stand inside. Text goes in as
 it is if the parser gives back exactly the turn; otherwise its control strings are escaped (a backslash
 after the first character, added to any already there, so that unescaping is exact) until it does.
-Turns are rendered row by row, and read back as an ordered stream that holds one batch at a time.
+Turns are rendered row by row. A conversation is its turns in order with nothing between, and is read
+back whole, as a stream of text: the parser finds the turns and the loss mask in it by itself.
 
 Defined results: a null role or text counts as empty; rows of a conversation go by turn (nulls first),
 then by rendered text, and repeated rows stay; null conversation ids are one conversation; other columns
@@ -93,20 +94,47 @@ def render(conversations: DataFrame) -> DataFrame:
     return conversations.select(c("conv_id", "long"), c("turn", "long"), c("role", "string"), c("text", "string")).mapInArrow(_render, _RENDERED)
 
 
+class Reader:
+    """Reads the text of a conversation, handed over in pieces of any length, turn by turn.
+
+    The grammar alone says where a turn ends and whose text a loss applies to. What is held is one turn.
+    """
+
+    def __init__(self) -> None:
+        self.rest, self.at = "", 0
+
+    def turns(self, piece: str) -> Iterator[tuple[str, str, int, int, str]]:
+        """role, text, the loss mask's start and end in the conversation, and what stands under it."""
+        seen, self.rest = max(0, len(self.rest) - len(CLOSE)), self.rest + piece
+        while (to := self.rest.find(f"{CLOSE}\n", seen)) >= 0:
+            segment, self.rest, seen = self.rest[: to + len(CLOSE) + 1], self.rest[to + len(CLOSE) + 1 :], 0
+            role, text, a, b = parse_turn(segment)
+            a = a if role == "assistant" else b
+            yield role, text, self.at + a, self.at + b, segment[a:b]
+            self.at += len(segment)
+
+    def close(self) -> int:
+        """The length of the conversation's text; ValueError if it ends inside a turn."""
+        if self.rest:
+            raise ValueError("a conversation that ends inside a turn")
+        return self.at
+
+
 class _Digest:
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n = self.loss_chars = self.chars = 0
+        self.n = self.loss_chars = 0
+        self.reader = Reader()
 
-    def add(self, segment: str, mask_start: int, mask_end: int) -> None:
-        role, text, _, _ = parse_turn(segment)
-        self.turns.update(f"{role}\n{text}\n".encode())
-        under = unescape(segment[mask_start:mask_end])
-        self.loss.update(under.encode())
-        self.n, self.loss_chars, self.chars = self.n + 1, self.loss_chars + len(under), self.chars + len(segment)
+    def add(self, piece: str) -> None:
+        for role, text, _, _, masked in self.reader.turns(piece):
+            self.turns.update(f"{role}\n{text}\n".encode())
+            under = unescape(masked)
+            self.loss.update(under.encode())
+            self.n, self.loss_chars = self.n + 1, self.loss_chars + len(under)
 
     def row(self, conv_id: int | None) -> tuple:
-        return conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+        return conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.reader.close()
 
 
 _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -118,12 +146,12 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, digest = None, None
     for batch in batches:
         done = []
-        for conv_id, segment, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+        for conv_id, piece in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
             if digest is None or conv_id != now:
                 if digest is not None:
                     done.append(digest.row(now))
                 now, digest = conv_id, _Digest()
-            digest.add(segment, a, b)
+            digest.add(piece)
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
     if digest is not None:
@@ -131,9 +159,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Digests of the turns and of the text under the mask, parsed from the rendered text alone.
+    """Digests of the turns and of the text under the mask, parsed from each conversation's rendered text alone.
 
-    A conversation is read as a sorted stream; a digest of all its turns cannot be split, but nothing of it
-    is held beyond a batch.
+    A conversation is read as a sorted stream of text; neither the bounds of its rows nor their other columns
+    reach the parser. A digest of all its turns cannot be split, but no more than a turn of it is held.
     """
-    return rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInArrow(_read_back, _READ)
+    ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    return ordered.select("conv_id", "segment").mapInArrow(_read_back, _READ)

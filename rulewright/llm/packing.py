@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 SIZE = 2048
+#: Texts with a run of twice as many characters without a change between blanks and others go to the tokenizer
+#: itself: the faster encoder takes such a run as one piece, in time that grows with its square.
+RUN = 1024
 CLOSE = 0
+_BLANK = re.compile(r"\s")
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -54,6 +59,21 @@ def _encoder(path: str, added: str | None = None):
     return (lambda text: encoding.encode(text, allowed_special="all")) if special else encoding.encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str, plain: bool):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = plain
+    return lambda text: whole.encode(text, add_special_tokens=False).ids
+
+
+def has_long_run(text: str) -> bool:
+    """Is one of the stretches of RUN characters all blank, or free of blanks? Any run of 2 * RUN holds one."""
+    cuts = (text[i : i + RUN] for i in range(0, len(text) - RUN + 1, RUN))
+    return any(x.isspace() or not _BLANK.search(x) for x in cuts)
+
+
 def vocabulary() -> str:
     """The vocabulary of byte_bpe_50k.json as ranks: the same ids, several times faster."""
     import public_tokenizers
@@ -69,10 +89,12 @@ def tokenizer_file() -> str:
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int, added: str | None) -> Iterator[pa.RecordBatch]:
     encode = _encoder(path, added)
+    slow = lambda text: _tokenizer(added or tokenizer_file(), not added)(text)
     for batch in batches:
         doc_ids, rows = batch.column(0).to_pylist(), []
         for doc_id, text in zip(doc_ids, batch.column(1).to_pylist(), strict=True):
-            ids = np.array([*encode(text or ""), CLOSE], "<u4")
+            text = text or ""
+            ids = np.array([*(slow if has_long_run(text) else encode)(text), CLOSE], "<u4")
             cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)] if len(ids) > size else [0, len(ids)]
             rows += [(doc_id, k, a, b - a, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
         columns = zip(*rows, strict=True) if rows else [[]] * 5

@@ -125,18 +125,34 @@ def _repeated(chunk: Chunk, word: np.ndarray) -> np.ndarray:
     return np.bincount(chunk.doc[covered[: len(word)]], minlength=chunk.docs)
 
 
+def _verdicts(texts: pa.Array, ratio: np.ndarray) -> list[np.ndarray] | None:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score in units and n_features of every text."""
+    parts = []
+    for chunk in chunks(texts):
+        feature, doc, word = _features(chunk, len(ratio).bit_length() - 1)
+        score = np.zeros(chunk.docs, np.int64)
+        np.add.at(score, doc, ratio[feature])
+        code_points = (~chunk.blank) & ((chunk.data & 0xC0) != 0x80)
+        parts.append([chunk.word_counts(), _per_doc(code_points, chunk.bounds), _per_doc(_IS_SYMBOL[chunk.data], chunk.bounds), _dup_lines(chunk), _repeated(chunk, word), score, np.bincount(doc, minlength=chunk.docs)])
+    return [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] if parts else None
+
+
 def _judge(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = []
-        for chunk in chunks(batch.column(1)):
-            feature, doc, word = _features(chunk, len(ratio).bit_length() - 1)
-            score = np.zeros(chunk.docs, np.int64)
-            np.add.at(score, doc, ratio[feature])
-            code_points = (~chunk.blank) & ((chunk.data & 0xC0) != 0x80)
-            parts.append([chunk.word_counts(), _per_doc(code_points, chunk.bounds), _per_doc(_IS_SYMBOL[chunk.data], chunk.bounds), _dup_lines(chunk), _repeated(chunk, word), score, np.bincount(doc, minlength=chunk.docs)])
-        if parts:
-            columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [x.split()[0] for x in _VERDICT.split(", ")])
+        found = _verdicts(batch.column(1), ratio)
+        if found:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], [x.split()[0] for x in _VERDICT.split(", ")])
+
+
+def _accept(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows that judge() keeps; the last column is the text as a string."""
+    for batch in batches:
+        found = _verdicts(batch.column(batch.num_columns - 1), ratio)
+        if found:
+            n_words, _, _, _, n_repeat, score, n = found
+            base = (n_words < 50) | (100 * n_repeat > 50 * n_words)
+            kept = ~base & (score / UNIT / np.maximum(n, 1) >= threshold)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(kept))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int | None = None) -> DataFrame:
@@ -151,6 +167,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that pass, columns as they came."""
-    gone = judge(docs, labels, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs that pass, columns as they came. Each row is judged by itself, whatever its id."""
+    ratio = fit(docs, labels)
+    rows = docs.select("*", F.col("text").cast("string").alias("__text"))
+    return rows.mapInArrow(lambda it: _accept(it, ratio, threshold), docs.schema)

@@ -3,7 +3,7 @@
 Base spans come from three patterns (leftmost, not overlapping, per kind). Further candidates are runs of
 20 or more of ``[A-Za-z0-9+/_=-]`` with a letter and a digit. Each is put in a character class (hex, one
 letter case and digits, mixed), and the entropy of its windows of 20 characters is kept up as the window
-slides: a character that enters or leaves changes only its own term. A candidate whose best window
+slides: a character that enters or leaves changes its own count and that count's term. A candidate whose best window
 reaches its class's threshold is a span of kind ``entropy`` unless the allow-list knows its shape (slugs
 and paths of plain words and numbers, UUIDs, placeholders) or it overlaps a base span.
 
@@ -14,6 +14,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ HEX = r"[0-9a-f]{24,}"  # the runs [0-9a-f]+ of 24 characters or more
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 6
+RUN = 256
+UNIT = 1 << 32
 WINDOW = 20
 #: (class, pattern of the whole candidate, least entropy in bits of a window of 20 characters)
 CLASSES = (("hex", "[0-9a-f]+|[0-9A-F]+", 3.0), ("one case", "[0-9a-z]+|[0-9A-Z]+", 3.4), ("mixed", ".*", 3.8))
@@ -35,11 +40,21 @@ ALLOWED = (
 _SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use reads it (also inside of its lambdas)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, kind: int, group: int | None = None) -> Column:
-    """Spans of a pattern: what lies between the matches gives their places. value: a group of the match."""
+    """Spans of a pattern: what lies between the matches gives their places. value: a group of the match.
+
+    Matches are taken in runs of RUN, each with its own start, so that a text with very many of them does
+    not copy one growing array for each.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = matches if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), value.alias("value"))
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -47,29 +62,45 @@ def found(text: Column, pattern: str, kind: int, group: int | None = None) -> Co
         span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.when(x["match"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(parts, start, add)["spans"]
+    def spans(parts: Column) -> Column:
+        run = lambda k: F.slice(parts, k * RUN + 1, F.lit(RUN))
+        runs = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int"))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(runs, first, lambda acc, k: F.struct((acc["at"] + F.aggregate(run(k), F.lit(0), lambda n, x: n + size(x))).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+        begin = lambda at: F.struct(at.alias("at"), F.array().cast(_SPAN).alias("spans"))
+        return F.flatten(F.transform(starts, lambda at, k: F.aggregate(run(k), begin(at), add)["spans"]))
+
+    return bound(parts, spans)
 
 
 def window_entropy(value: Column) -> Column:
-    """The largest entropy in bits of any window of WINDOW characters, from counts that change one at a time."""
-    chars = F.split(value, "")
-    term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda first, size, c: F.size(F.filter(F.slice(chars, first, size), lambda x: x == c))
-
-    def slide(acc: Column, i: Column) -> Column:
-        full = i > WINDOW
-        enters, leaves = F.get(chars, i - 1), F.get(chars, i - WINDOW - 1)
-        before = F.when(full, count(i - WINDOW, F.lit(WINDOW), enters)).otherwise(count(F.lit(1), i - 1, enters))
-        grown = acc["total"] + term(before + 1) - term(before)
-        last = count(i - WINDOW, F.lit(WINDOW + 1), leaves)
-        total = F.when(full, grown + term(last - 1) - term(last)).otherwise(grown)
-        entropy = F.lit(WINDOW).cast("double")
-        entropy = F.log2(entropy) - total / entropy
-        return F.struct(total.alias("total"), F.when(i >= WINDOW, F.greatest(acc["best"], entropy)).otherwise(acc["best"]).alias("best"))
-
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, slide)["best"]
+    """The largest entropy in bits of any window of WINDOW characters.
+
+    The accumulator holds the count of every character of the window. A step changes one count, by the
+    character that leaves or enters, and the sum of n * log2(n) by that count's term; so a candidate takes
+    time in proportion to its length.
+    """
+    # in units of 2**-32: sums of whole numbers do not drift
+    terms = F.array(*(F.lit(round(n * math.log2(n) * UNIT) if n > 1 else 0).cast("long") for n in range(WINDOW + 2)))
+    places = ord("z") - ord("+") + 1
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - (ord("+") - 1))  # from 1
+
+    def steps(codes: Column) -> Column:
+        enter = lambda c: F.struct(c.alias("code"), F.lit(1).alias("by"))
+        leave = lambda i: F.struct(F.get(codes, i - WINDOW).alias("code"), F.lit(-1).alias("by"))
+        return F.flatten(F.transform(codes, lambda c, i: F.when(i < WINDOW, F.array(enter(c))).otherwise(F.array(leave(i), enter(c)))))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.element_at(acc["counts"], x["code"])
+        counts = F.concat(F.slice(acc["counts"], F.lit(1), x["code"] - 1), F.array(n + x["by"]), F.slice(acc["counts"], x["code"] + 1, F.lit(places)))
+        total = acc["total"] + F.get(terms, n + x["by"]) - F.get(terms, n)
+        seen = acc["seen"] + F.when(x["by"] > 0, 1).otherwise(0)
+        full = (x["by"] > 0) & (seen >= WINDOW)
+        least = F.when(full, F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(counts.alias("counts"), total.alias("total"), seen.alias("seen"), least.alias("least"))
+
+    start = F.struct(F.array_repeat(F.lit(0), places).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("seen"), F.lit(round(WINDOW * math.log2(WINDOW) * UNIT)).cast("long").alias("least"))
+    return math.log2(WINDOW) - F.aggregate(bound(codes, steps), start, step)["least"] / (UNIT * WINDOW)
 
 
 def suspicious(value: Column) -> Column:
@@ -81,7 +112,7 @@ def suspicious(value: Column) -> Column:
     plain = value.rlike("[A-Za-z]") & value.rlike("[0-9]")
     for p in ALLOWED:
         plain = plain & ~whole(p)
-    return F.when(plain, window_entropy(value) >= least).otherwise(F.lit(False))
+    return F.when(plain, window_entropy(value) >= least - 1e-9).otherwise(F.lit(False))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ from .common import Scratch, small_batches
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 22
+#: Digests of repeated payloads up to this count (some 80 bytes each) are sent to every executor.
+BROADCAST_DIGESTS = 100_000
 _BUNDLES = "bundle_id string, content binary, index array<struct<record_id:string, frame:int, offset:long, length:long>>"
 
 
@@ -137,7 +139,13 @@ def bundles(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     same = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null").select("digest", "original")
-    rows = rows.join(same, "digest", "left")
+    few = same.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    if few:
+        rows = rows.join(F.broadcast(same), "digest", "left")
+    else:  # by page: the copies of one payload would meet in one task, with all their content
+        slim = rows.select("page_id", "digest").join(same, "digest").where("page_id is not null").distinct()
+        nulls = rows.where("page_id is null").join(same, "digest", "left")
+        rows = rows.where("page_id is not null").join(slim, ["page_id", "digest"], "left").unionByName(nulls)
     revisit = F.col("original").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("original").eqNullSafe(F.col("page_id"))
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size", F.when(revisit, F.col("original")).alias("refers_to"), F.when(revisit, "revisit").otherwise("response").alias("kind"))
     return rows.mapInArrow(_write, _BUNDLES)

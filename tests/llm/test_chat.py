@@ -29,3 +29,14 @@ def test_conversations(spark):
         loss = "".join(b for a, b in turns if a == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.render(df.limit(0))).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), PARTS), max_size=6), st.integers(1, 9))
+def test_a_conversation_is_read_from_its_text_alone(turns, step):
+    whole = "".join(chat.render_turn(*t) for t in turns)
+    reader = chat.Reader()
+    got = [x for i in range(0, len(whole), step) for x in reader.turns(whole[i : i + step])]
+    assert [x[:2] for x in got] == turns and reader.close() == len(whole)
+    assert [chat.unescape(whole[a:b]) for _, _, a, b, _ in got] == [t if r == "assistant" else "" for r, t in turns]
+    assert all(whole[a:b] == under for _, _, a, b, under in got)

@@ -56,7 +56,7 @@ def test_packs_gaplessly_with_the_tokenizer_ids(spark):
 def test_query_ids_are_the_tokenizer_files_at_its_defaults(spark, tmp_path):
     from rulewright.llm import queries
 
-    texts = [None, "", "a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|> y " * 900, "<|EndOfText|> plain"]
+    texts = [None, "", "a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|> y " * 900, "<|EndOfText|> plain", " " * 1_000_000, "a" + " " * 5000 + "b", "q7" * 40_000, "x" * 3000 + "<|endoftext|>" + "\n" * 9000 + "end"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in queries.op5_best_fit_packing(spark, str(tmp_path)).collect()}
@@ -64,6 +64,7 @@ def test_query_ids_are_the_tokenizer_files_at_its_defaults(spark, tmp_path):
     for i, t in enumerate(texts):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         assert ("<|endoftext|>" in (t or "")) == (50256 in ids)
+        assert packing.has_long_run(t or "") == (i in (7, 8, 9, 10))
         cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
         want |= {(i, k): (a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
     assert got == want

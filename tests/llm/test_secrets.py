@@ -57,3 +57,14 @@ def test_redact_takes_entropy_spans_too(spark):
     assert {r.doc_id: r.spans for r in secrets.report(docs).collect()}[1].count("entropy") == 2
     out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert out == {1: "the key is [secret] here, \U0001d4b3 and [secret].", 2: None, 3: "plain words"}
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(5)
+    value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    many = " ".join(f"token={i:06d} \U0001d4b3" for i in range(3000))
+    docs = spark.createDataFrame([(1, value), (2, many), (3, "ab1" * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    for i, text in ((1, value), (2, many)):
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256, got[i].spans) == brute(text)
+    assert got[3].spans == "hex:0:60000"
