@@ -4,7 +4,8 @@ Features are hashed words and word pairs. Two multinomials over the same buckets
 corpus (every document) and the trusted target (the documents labelled good and not toxic; with
 ``sample``, only as many, those with the smallest id hashes). A document's score is the mean over its
 features of log p_target - log p_raw, in units of 2**-20 so that sums are exact; it passes at
-``threshold`` or more. Counts are added up per task before the shuffle. The number of buckets grows with
+``threshold`` or more. Counts are added up per task before the shuffle, which takes the table in PARTS
+compressed rows of a task. The number of buckets grows with
 the square root of the target's length, as its vocabulary does: with too few, junk shares the buckets of
 good words; with too many for the target, good documents outside of it score like junk.
 
@@ -29,6 +30,8 @@ from .words import Chunk, chunks, windows
 #: Least bits of a bucket number, and buckets for the square root of the target's characters.
 LEAST_BITS = 13
 BUCKETS_PER_ROOT = 50
+#: The table of counts is added up in so many parts, each a row of a task.
+PARTS = 64
 UNIT = 1 << 20
 #: Characters that count as symbols.
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -52,17 +55,38 @@ def _features(chunk: Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return feature.astype(np.int64), np.concatenate((chunk.doc, chunk.doc[first] if len(first) else first)), word
 
 
+def _parts(raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+    """A row per part of the table that has a count: the counts as compressed 64-bit numbers."""
+    rows = [(i, r, t) for i, (r, t) in enumerate(zip(np.split(raw, PARTS), np.split(target, PARTS), strict=True)) if r.any()]
+    packed = [pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in side], pa.binary()) for side in ([r for _, r, _ in rows], [t for _, _, t in rows])]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int32()), *packed], ["part", "raw", "target"])
+
+
+def _unpacked(counts: pa.BinaryScalar, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts.as_buffer(), 8 * size, "zstd"), np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    size = 1 << bits
-    raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    """The counts of a task's rows, added up."""
+    raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
     for batch in batches:
         trusted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
         for chunk in chunks(batch.column(0)):
             feature, doc, _ = _features(chunk, bits)
-            raw += np.bincount(feature, minlength=size)
-            target += np.bincount(feature[trusted[chunk.first + doc]], minlength=size)
-    used = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
+            np.add.at(raw, feature, 1)
+            np.add.at(target, feature[trusted[chunk.first + doc]], 1)
+    yield _parts(raw, target)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The sums of the parts that a task gets, row by row: it holds one table at most, however many rows come."""
+    raw, target, size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), (1 << bits) // PARTS
+    for batch in batches:
+        for i, r, t in zip(*batch.columns, strict=True):
+            at = slice(i.as_py() * size, (i.as_py() + 1) * size)
+            raw[at] += _unpacked(r, size)
+            target[at] += _unpacked(t, size)
+    yield _parts(raw, target)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> np.ndarray:
@@ -75,15 +99,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> np.nda
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = rows.join(good, rows["doc_id"] == good["trusted_id"], "left").select("text", F.col("trusted_id").isNotNull().alias("trusted"))
     bits = table_bits(rows.where("trusted").agg(F.sum(F.length("text"))).first()[0] or 0)
-    counted = rows.mapInArrow(lambda it: _counts(it, bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    rows = counted.toArrow()  # one row per bucket at most
-    bucket = rows["bucket"].to_numpy()
-    raw[bucket], target[bucket] = rows["raw"].to_numpy(), rows["target"].to_numpy()
+    kind = "part int, raw binary, target binary"
+    counted = rows.mapInArrow(lambda it: _counts(it, bits), kind).repartition("part").mapInArrow(lambda it: _sums(it, bits), kind)
+    raw, target, size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), (1 << bits) // PARTS
+    for i, r, t in zip(*counted.toArrow().columns, strict=True):  # PARTS rows at most
+        at = slice(i.as_py() * size, (i.as_py() + 1) * size)
+        raw[at], target[at] = _unpacked(r, size), _unpacked(t, size)
     if not target.sum():
-        return np.zeros(len(raw), np.int64)
+        return np.zeros(len(raw), np.int32)
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * len(raw))) - np.log((raw + 0.5) / (raw.sum() + 0.5 * len(raw)))
-    return np.rint(ratio * UNIT).astype(np.int64)
+    return np.rint(ratio * UNIT).astype(np.int32)
 
 
 def _per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
