@@ -21,6 +21,12 @@ def quote_form(text: Column, fold: bool = False) -> Column:
     return F.lower(out) if fold else out
 
 
+def fold(text: Column) -> Column:
+    """Lower case without the accents of the Latin letters that Spanish and its neighbours use, composed or not."""
+    plain = F.regexp_replace(F.lower(text), r"\p{Mn}+", "")
+    return F.translate(plain, "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
+
+
 def mask_email(text: Column) -> Column:
     """First character of the name and the domain."""
     return F.regexp_replace(text, r"([A-Za-z0-9])[A-Za-z0-9._-]*@([A-Za-z0-9.-]+)", "$1***@$2")

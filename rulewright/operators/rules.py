@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def assign_ids(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """rows with rule_id: the group's parts and a two-digit number by order."""
+    """rows with rule_id: the group's parts and a number by order, of two digits or as many as it takes."""
     n = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return rows.withColumn("rule_id", F.concat_ws("-", *groups, F.concat(F.lit("H"), F.lpad(n.cast("string"), 2, "0"))))
+    return rows.withColumn("rule_id", F.concat_ws("-", *groups, F.format_string("H%02d", n)))
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

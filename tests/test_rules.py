@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import spanish, text
-from rulewright.operators import merging
+from rulewright.operators import merging, rules
 from rulewright.sources import writers
 
 
@@ -57,3 +57,16 @@ def test_sinks(spark, tmp_path):
     writers.append_records(df, f"{tmp_path}/s", "id")
     writers.append_records(df, f"{tmp_path}/s", "id")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 4
+
+
+def test_ids_beyond_two_digits(spark):
+    rows = spark.range(101).selectExpr("'A' AS g", "id")
+    ids = [r.rule_id for r in rules.assign_ids(rows, ["g"], ["id"]).orderBy("id").collect()]
+    assert ids == [f"A-H{n:02d}" for n in range(1, 102)]
+
+
+def test_search_folds_accents_and_puts_starts_first(spark):
+    from rulewright.plans.queries import search
+
+    rows = spark.createDataFrame([(1, "Del Ángel"), (2, "ÁNGELES"), (3, "Angelópolis"), (4, "Norte"), (5, None)], "k long, name string")
+    assert [r.k for r in search(rows, "name", "ángel", "k", 10).collect()] == [2, 3, 1]
