@@ -45,7 +45,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Stages that SQL cannot express (tokens, subset sums); tests hold the pipeline against brute force.
+#: Stages that SQL cannot express (tokens, subset sums); tests run it on made documents whose fate is known, and every
+#: stage on rows without content.
 ORACLE_SQL = None
 
 
