@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def collapse(text: Column) -> Column:
@@ -59,3 +61,47 @@ def whole_years(since: Column, at: Column) -> Column:
     """Age in completed calendar years."""
     early = (F.month(at) * 100 + F.dayofmonth(at)) < (F.month(since) * 100 + F.dayofmonth(since))
     return F.year(at) - F.year(since) - early.cast("int")
+
+
+def upgraded_id(rule_id: Column) -> Column:
+    """An id of the older style (ALGO, H01) in the current one (ALG, H1); current ids stay."""
+    return F.regexp_replace(F.regexp_replace(rule_id, "-ALGO-", "-ALG-"), "-([PFH])0*([0-9]+)$", "-$1$2")
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode normal form C, which Spark has no function for."""
+    return text.str.normalize("NFC")
+
+
+def canonical(text: Column) -> Column:
+    """The form that is hashed: composed letters, line feeds, no blanks at line ends, two empty lines at most, one last line feed."""
+    lines = F.regexp_replace(composed(text), "\r\n?", "\n")
+    lines = F.regexp_replace(F.regexp_replace(lines, r"[ \t]+\n", "\n"), r"\n{4,}", "\n\n\n")
+    return F.concat(F.regexp_replace(lines, r"\s+\z", ""), F.lit("\n"))
+
+
+def figures(text: Column) -> Column:
+    """The distinct numbers of a text, thousands without their commas."""
+    found = F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"[0-9]+(?:[.][0-9]+)?"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda x: x.cast("double")))
+
+
+def figures_agree(a: Column, b: Column) -> Column:
+    """Equal but for spelling, or both hold figures and those of one are among those of the other."""
+    x, y = figures(a), figures(b)
+    within = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
+    return (plain_name(a) == plain_name(b)) | ((F.size(x) > 0) & (F.size(y) > 0) & within)
+
+
+def quantity_kinds(text: Column) -> Column:
+    """Which kinds of quantity a text states: money, percent, months, days."""
+    kinds = {"money": r"\$\s?[0-9]", "percent": r"(?i)[0-9]\s?%|\bpercent\b", "months": r"(?i)\bmonths?\b", "days": r"(?i)\bdays?\b"}
+    return F.array_compact(F.array(*(F.when(text.rlike(p), k) for k, p in kinds.items())))
+
+
+def degrees(text: Column) -> Column:
+    """Degrees, minutes and seconds (19°25'57.1" N) as a decimal number of six places; south and west are negative."""
+    part = lambda i: F.regexp_extract(text, "([0-9]+)[°º]\\s*([0-9]+)['′]\\s*([0-9.]+)[\"″]\\s*([NSEWO])", i)
+    size = part(1).try_cast("double") + part(2).try_cast("double") / 60 + part(3).try_cast("double") / 3600
+    return F.round(F.when(part(4).isin("S", "W", "O"), -size).otherwise(size), 6)

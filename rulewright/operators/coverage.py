@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.kleene import code, compare_interval, negate_code
 
 
+def leaf_results(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: DataFrame) -> DataFrame:
+    """A row per address, rule that reaches it and leaf of the rule, with r: 0, 1 or 2 for false, unknown and true."""
+    pairs = levels.join(rules, ["level", "jurisdiction"]).select("address", "rule_id", "presume")
+    asked = pairs.join(leaves, "rule_id").join(facts, ["address", "fact"], "left")
+    plain = code(compare_interval(F.col("lo"), F.col("hi"), F.coalesce("known", F.lit(False)), F.col("op"), F.col("value")))
+    presumed = F.when((plain == 1) & F.col("presume") & F.col("fact").startswith("flag_"), 0).otherwise(plain)
+    return asked.withColumn("r", F.when(F.col("negated"), negate_code(presumed)).otherwise(presumed))
+
+
 def verdicts(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: DataFrame) -> DataFrame:
     """(address, rule_id, verdict, n_missing): conditions and exemptions decided, or unknown.
 
@@ -16,11 +25,10 @@ def verdicts(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: Data
     fact, op, value, negated), a disjunction of items of disjunctions of conjunctions. presume: a special
     flag that is not known counts as false. Rules and leaves are small against addresses and join by hash.
     """
-    pairs = levels.join(rules, ["level", "jurisdiction"]).select("address", "rule_id", "presume")
-    asked = pairs.join(leaves, "rule_id").join(facts, ["address", "fact"], "left")
-    plain = code(compare_interval(F.col("lo"), F.col("hi"), F.coalesce("known", F.lit(False)), F.col("op"), F.col("value")))
-    presumed = F.when((plain == 1) & F.col("presume") & F.col("fact").startswith("flag_"), 0).otherwise(plain)
-    asked = asked.withColumn("r", F.when(F.col("negated"), negate_code(presumed)).otherwise(presumed))
+    return _decided(leaf_results(levels, facts, rules, leaves)).select("address", "rule_id", "verdict", "n_missing")
+
+
+def _decided(asked: DataFrame) -> DataFrame:
     items = asked.groupBy("address", "rule_id", "kind", "item", "conj").agg(F.min("r").alias("r"), F.count_if(F.col("r") == 1).alias("u"))
     items = items.groupBy("address", "rule_id", "kind", "item").agg(F.max("r").alias("r"), F.sum("u").alias("u"))
     side = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("r")))
@@ -28,4 +36,12 @@ def verdicts(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: Data
     decided = items.groupBy("address", "rule_id").agg(F.coalesce(side("covers", F.min), F.lit(2)).alias("c"), F.coalesce(side("exempts", F.max), F.lit(0)).alias("e"), missing("covers").alias("uc"), missing("exempts").alias("ue"))
     verdict = F.when(F.col("c") == 0, "not_covered").when(F.col("e") == 2, "exempt").when((F.col("c") == 2) & (F.col("e") == 0), "covered").otherwise("unknown")
     open_facts = F.when(F.col("c") == 1, F.col("uc")).otherwise(0) + F.when(F.col("e") == 1, F.col("ue")).otherwise(0)
-    return decided.select("address", "rule_id", verdict.alias("verdict"), F.when(verdict == "unknown", open_facts).otherwise(0).cast("long").alias("n_missing"))
+    return decided.select("address", "rule_id", "c", "e", verdict.alias("verdict"), F.when(verdict == "unknown", open_facts).otherwise(0).cast("long").alias("n_missing"))
+
+
+def missing_facts(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(address, rule_id, fact), each once: facts whose absence leaves a side of an unknown verdict undecided."""
+    asked = leaf_results(levels, facts, rules, leaves)
+    open_ = _decided(asked).where("verdict = 'unknown'").select("address", "rule_id", "c", "e")
+    of_side = ((F.col("kind") == "covers") & (F.col("c") == 1)) | ((F.col("kind") == "exempts") & (F.col("e") == 1))
+    return asked.where("r = 1").join(open_, ["address", "rule_id"]).where(of_side).select("address", "rule_id", "fact").distinct()

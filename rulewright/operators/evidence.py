@@ -20,3 +20,14 @@ def chain_status(links: DataFrame, chain: str, order: str, text: str, claimed: s
     true = link_hashes(links, chain, order, text)
     good = (F.col(claimed) == F.col("sha")) & F.col(claimed_prev).eqNullSafe(F.col("prev_sha"))
     return true.withColumn("valid", F.min(good.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+
+
+def rollup(signatures: DataFrame, chain: str, role: str, valid: str, required: list[str]) -> DataFrame:
+    """(chain, valid_roles, overall) of signatures with a verdict each.
+
+    overall: invalidated if any is not valid, signed if each required role has a valid one, partial if some have, else pending.
+    """
+    has = lambda r: F.bool_or((F.col(role) == r) & F.col(valid)).cast("int")
+    rows = signatures.groupBy(chain).agg(F.bool_and(valid).alias("__all"), sum((F.coalesce(has(r), F.lit(0)) for r in required[1:]), F.coalesce(has(required[0]), F.lit(0))).cast("long").alias("valid_roles"))
+    overall = F.when(~F.col("__all"), "invalidated").when(F.col("valid_roles") == len(required), "signed").when(F.col("valid_roles") > 0, "partial").otherwise("pending")
+    return rows.select(chain, "valid_roles", overall.alias("overall"))

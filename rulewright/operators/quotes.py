@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 4
@@ -25,3 +27,12 @@ def quotes_found(sources: DataFrame, quotes: DataFrame) -> DataFrame:
     found = pairs.join(sources.select(F.col("id").alias("source_id"), "text"), "source_id").where(F.expr("contains(text, quote)"))
     short = named.where("shingle is null").join(sources.select(F.col("id").alias("source_id"), "text"), F.expr("contains(text, quote)"))
     return found.select("source_id", "quote_id").union(short.select("source_id", "quote_id")).distinct()
+
+
+def quotes_matched(sources: DataFrame, quotes: DataFrame, form: Callable[[Column], Column]) -> DataFrame:
+    """(source_id, quote_id, match): exact, or normalized where only the texts' common form agrees."""
+    plain = lambda df: df.select("id", form(F.col("text")).alias("text"))
+    exact = quotes_found(sources, quotes).withColumn("__exact", F.lit(True))
+    alike = quotes_found(plain(sources), plain(quotes))
+    both = alike.join(exact, ["source_id", "quote_id"], "full_outer")
+    return both.select("source_id", "quote_id", F.when(F.col("__exact"), "exact").otherwise("normalized").alias("match"))

@@ -96,16 +96,21 @@ _FLAG = "CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 1 WHEN 'MACHINERY' THEN 0 END"
 def addresses(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     city = F.when(F.col("c_custkey") % 50 != 0, F.col("c_nationkey"))
-    return rows.select(F.col("c_custkey").alias("address"), city.alias("city"), F.col("n_regionkey").alias("state"), F.expr(_UNITS_LO).alias("units_lo"), F.expr(_UNITS_HI).alias("units_hi"), F.expr("c_custkey % 4 <> 3").alias("units_known"), F.expr(_YEAR).alias("year"), F.expr(_FLAG).alias("flag"))
+    return rows.select(F.col("c_custkey").alias("address"), city.alias("city"), F.col("n_regionkey").alias("state"), F.col("c_nationkey").alias("nation"), F.expr(_UNITS_LO).alias("units_lo"), F.expr(_UNITS_HI).alias("units_hi"), F.expr("c_custkey % 4 <> 3").alias("units_known"), F.expr(_YEAR).alias("year"), F.expr(_FLAG).alias("flag"))
 
 
-def covered(spark: SparkSession, d: str) -> DataFrame:
+def coverage_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Levels, facts, rules and leaves, as coverage.verdicts() takes them."""
     rows = addresses(spark, d)
     levels = rows.selectExpr("address", "stack(2, 'state', state, 'city', city) as (level, jurisdiction)").where("jurisdiction is not null")
     facts = rows.selectExpr("address", "stack(3, 'units', units_lo, units_hi, units_known, 'year_built', year, year, year is not null, 'flag_affordable', cast(flag as bigint), cast(flag as bigint), flag is not null) as (fact, lo, hi, known)")
     rule = spark.createDataFrame(RULES, "rule_id string, level string, jurisdiction int, presume boolean")
     leaf = spark.createDataFrame(LEAVES, "rule_id string, item int, kind string, conj int, fact string, op string, value long, negated boolean")
-    return coverage.verdicts(levels, facts, rule, leaf).join(rows.select("address", "state"), "address")
+    return levels, facts, rule, leaf
+
+
+def covered(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.verdicts(*coverage_inputs(spark, d)).join(addresses(spark, d).select("address", "state"), "address")
 
 
 _COVERED = f"""facts AS (SELECT c_custkey AS address, CASE WHEN c_custkey % 50 <> 0 THEN c_nationkey END AS city, n_regionkey AS state, {_UNITS_LO} AS lo, {_UNITS_HI} AS hi, c_custkey % 4 <> 3 AS known, {_YEAR} AS yr, {_FLAG} AS flag
