@@ -15,11 +15,12 @@ columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 # Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs AKIA[A-Z0-9]+ of 20 characters or more
@@ -40,11 +41,6 @@ ALLOWED = (
 _SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, however often use reads it (also inside of its lambdas)."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def found(text: Column, pattern: str, kind: int, group: int | None = None) -> Column:
     """Spans of a pattern: what lies between the matches gives their places. value: a group of the match.
 
