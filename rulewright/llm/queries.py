@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, lines, minhash, packing, quality, secrets, urlfilter, warc
+from . import centroids, chat, decontam, divergence, html, lattice, lines, minhash, packing, quality, secrets, urlfilter, warc
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).withColumn("patterns", F.array_join("patterns", " "))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -67,6 +79,8 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), q AS (SELECT page_id, url, strlen(html)::bigint AS payload_bytes, sha256(html) AS payload_digest FROM p),
   r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM q)
   SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN original <> page_id THEN original END AS refers_to FROM r""",
+    "op11_source_divergence": divergence.SQL,
+    "op12_centroid_clustering": centroids.sql(),
     "op10_url_filters": f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
   u AS (SELECT DISTINCT url, translate(url, '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS low, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM p),
   h AS (SELECT url, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS verdict FROM u JOIN (VALUES {_HOSTS}) r(rh, rp, rv) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url),

@@ -11,7 +11,8 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    for t in ("pages", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     got = queries.queries()[name](spark, DATA)
