@@ -1,95 +1,92 @@
 """Which clauses a contract gets, which of its fields they need, and which bounds it breaks.
 
-Clauses and requirements are parts of the rule set, given as plain records; they become literals of one
-projection over the contracts, which is neither shuffled nor joined.
+The rule set is four tables, joined by their keys; Spark broadcasts those that are small and shuffles the others:
+
+* clauses: template, pos, key, agreed (needs no law), scope (federal, state or any), guarantor_only, deposit_only,
+  fields, categories and requirement_ids (arrays);
+* requirements: id, jurisdiction, category, kind, in_contract;
+* checks: requirement, field, op, bound (decimal).
+
+A contract names its template. Plans are rows of contract and clause, so none of them is gathered in one record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NATION = "FED"
+CLAUSES = "template string, pos int, key string, agreed boolean, scope string, guarantor_only boolean, deposit_only boolean, fields array<string>, categories array<string>, requirement_ids array<string>"
+REQUIREMENTS = "id string, jurisdiction string, category string, kind string, in_contract boolean"
+CHECKS = "requirement string, field string, op string, bound decimal(18,4)"
+#: The kinds of requirement that bind a contract.
+LAW = ("law",)
 
 
-@dataclass(frozen=True)
-class Requirement:
-    """checks: (field, operator, bound)."""
-
-    id: str
-    jurisdiction: str
-    category: str
-    checks: tuple[tuple[str, str, float], ...] = ()
-
-
-@dataclass(frozen=True)
-class Clause:
-    """agreed: needs no law. scope: federal, state or any."""
-
-    key: str
-    agreed: bool = False
-    scope: str = "federal"
-    categories: tuple[str, ...] = ()
-    requirement_ids: tuple[str, ...] = ()
-    needs_guarantor: bool = False
-    only_with_deposit: bool = False
-    fields: tuple[str, ...] = field(default=())
-
+def backing(clauses: DataFrame, requirements: DataFrame, kinds: tuple[str, ...] = LAW) -> DataFrame:
+    """(template, pos, jurisdiction, ids): the requirements behind each clause in each jurisdiction, sorted.
 
-def backing(clause: Clause, requirements: Sequence[Requirement], state: Column, verified: Column) -> Column:
-    """Ids of the requirements behind a clause: the state's first, then the nation's, each by id."""
-    fit = [r for r in requirements if r.category in clause.categories or r.id in clause.requirement_ids]
-    fit.sort(key=lambda r: (r.jurisdiction == NATION, r.id))
-    reach = lambda r: F.lit(clause.scope in ("federal", "any")) if r.jurisdiction == NATION else F.lit(clause.scope in ("state", "any")) & verified & (state == r.jurisdiction)
-    return F.array_compact(F.array(*(F.when(reach(r), r.id) for r in fit), F.lit(None).cast("string")))
-
-
-def clause_plan(contracts: DataFrame, clauses: Sequence[Clause], requirements: Sequence[Requirement], state: str = "state", verified: str = "verified", guarantor: str = "guarantor", deposit: str = "deposit") -> DataFrame:
-    """contracts with plan: an array of (key, reason, requirements, fields) in clause order; reason null: included."""
-    rows = []
-    for c in clauses:
-        reqs = F.lit(None).cast("array<string>") if c.agreed else backing(c, requirements, F.col(state), F.coalesce(verified, F.lit(False)))
-        reason = F.when(F.lit(c.needs_guarantor) & ~F.coalesce(guarantor, F.lit(False)), "no_guarantor").when(F.lit(c.only_with_deposit) & F.coalesce(F.col(deposit) == 0, F.lit(False)), "no_deposit_agreed")
-        if not c.agreed:
-            reason = reason.when(F.lit(c.scope == "state") & ~F.coalesce(verified, F.lit(False)), "federal_law_only").when(F.size(reqs) == 0, "no_verified_requirement")
-        none = F.array().cast("array<string>")
-        named = F.array(*(F.lit(f) for f in c.fields)) if c.fields else none
-        rows.append(F.struct(F.lit(c.key).alias("key"), reason.alias("reason"), F.coalesce(reqs, none).alias("requirements"), named.alias("fields")))
-    return contracts.withColumn("plan", F.array(*rows))
+    A clause names categories, or single requirements; both are looked up by equality.
+    """
+    binding = requirements.where(F.col("kind").isin(*kinds) & F.col("in_contract")).select("id", "jurisdiction", "category")
+    named = lambda column, key: clauses.select("template", "pos", "scope", F.explode(column).alias(key)).join(binding, key).select("template", "pos", "scope", "jurisdiction", "id")
+    level = F.when(F.col("jurisdiction") == NATION, "federal").otherwise("state")
+    reached = named("categories", "category").union(named("requirement_ids", "id")).where((F.col("scope") == "any") | (F.col("scope") == level))
+    return reached.groupBy("template", "pos", "jurisdiction").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def included(plan: str | Column = "plan") -> Column:
-    return F.filter(plan, lambda c: c["reason"].isNull())
+def clause_plan(contracts: DataFrame, clauses: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Every clause of every contract's template, with reason (null: included) and requirements.
 
+    contracts has template, state, verified, guarantor and deposit; its columns stay. A state's own requirements
+    stand before the nation's, and count only where the state is verified. The first reason that holds is given.
+    """
+    behind = backing(clauses, requirements)
+    wide = behind.where(F.col("jurisdiction") == NATION).select("template", "pos", F.col("ids").alias("__wide"))
+    own = behind.where(F.col("jurisdiction") != NATION).select("template", "pos", F.col("jurisdiction").alias("__place"), F.col("ids").alias("__own"))
+    known = F.coalesce("verified", F.lit(False))
+    rows = contracts.withColumn("__place", F.when(known, F.col("state"))).join(clauses.drop("categories", "requirement_ids"), "template")
+    rows = rows.join(wide, ["template", "pos"], "left").join(own, ["template", "pos", "__place"], "left")
+    none = F.array().cast("array<string>")
+    ids = F.when(F.col("agreed"), none).otherwise(F.concat(F.coalesce("__own", none), F.coalesce("__wide", none)))
+    why = {
+        "no_guarantor": F.col("guarantor_only") & ~F.coalesce("guarantor", F.lit(False)),
+        "no_deposit_agreed": F.col("deposit_only") & (F.col("deposit") == 0),
+        "federal_law_only": ~F.col("agreed") & (F.col("scope") == "state") & ~known,
+        "no_verified_requirement": ~F.col("agreed") & (F.size(ids) == 0),
+    }
+    first = F.coalesce(*(F.when(holds, name) for name, holds in why.items()))
+    return rows.withColumn("requirements", ids).withColumn("reason", first).drop("__wide", "__own", "__place")
+
+
+def included(planned: DataFrame) -> DataFrame:
+    return planned.where("reason is null")
+
+
+def missing_fields(planned: DataFrame, key: str, values: Mapping[str, Column]) -> DataFrame:
+    """(key, field, requirements) of fields that an included clause needs and the contract lacks (null or empty).
 
-def _asking(name: str) -> Column:
-    return F.filter(included(), lambda c: F.array_contains(c["fields"], name))
+    values: each field as text. requirements: distinct, in clause order; empty if only the template asks.
+    """
+    given = F.create_map(*(x for name, value in values.items() for x in (F.lit(name), value.cast("string"))))
+    needed = included(planned).withColumn("__given", given).select(key, "pos", "requirements", "__given", F.explode("fields").alias("field"))
+    lacking = needed.where(F.array_contains(F.map_keys("__given"), F.col("field")) & (F.coalesce(F.col("__given")[F.col("field")], F.lit("")) == ""))
+    asked = lacking.groupBy(key, "field").agg(F.array_sort(F.collect_list(F.struct("pos", "requirements"))).alias("by"))
+    return asked.select(key, "field", F.array_distinct(F.flatten("by.requirements")).alias("requirements"))
 
 
-def missing_fields(planned: DataFrame, key: str, values: Mapping[str, str]) -> DataFrame:
-    """(key, field, requirements) of fields that an included clause needs and the contract lacks (null or empty).
+def violations(planned: DataFrame, key: str, checks: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """(key, requirement, field, op, bound) of bounds that requirements behind included clauses set and values break.
 
-    values: the column of each field. requirements: distinct, in clause order; empty if only the template asks.
+    Values are decimals, so that one at its bound keeps it; a null value breaks none; a repeated check counts once.
     """
-    rows = []
-    for name, column in values.items():
-        asking = _asking(name)
-        ids = F.array_distinct(F.flatten(F.transform(asking, lambda c: c["requirements"])))
-        open_ = (F.size(asking) > 0) & (F.col(column).isNull() | (F.col(column).cast("string") == ""))
-        rows.append(F.when(open_, F.struct(F.lit(name).alias("field"), ids.alias("requirements"))))
-    return planned.select(key, F.explode(F.array_compact(F.array(*rows))).alias("m")).select(key, "m.*")
-
-
-def violations(planned: DataFrame, key: str, requirements: Sequence[Requirement], values: Mapping[str, Column]) -> DataFrame:
-    """(key, requirement, field, op, bound) of bounds that requirements behind included clauses set and values break."""
-    used = F.array_distinct(F.flatten(F.transform(included(), lambda c: c["requirements"])))
-    holds = {"le": lambda a, b: a <= b, "lt": lambda a, b: a < b, "ge": lambda a, b: a >= b, "gt": lambda a, b: a > b, "eq": lambda a, b: a == b}
-    rows = []
-    for r in requirements:
-        for name, op, bound in r.checks:
-            broken = F.array_contains("__used", r.id) & ~holds[op](values[name], F.lit(bound))
-            rows.append(F.when(broken, F.struct(F.lit(r.id).alias("requirement"), F.lit(name).alias("field"), F.lit(op).alias("op"), F.lit(float(bound)).alias("bound"))))
-    return planned.withColumn("__used", used).select(key, F.explode(F.array_compact(F.array(*rows))).alias("v")).select(key, "v.*")
+    given = F.create_map(*(x for name, value in values.items() for x in (F.lit(name), value.cast("decimal(30,12)"))))
+    used = included(planned).withColumn("__given", given).select(key, "__given", F.explode("requirements").alias("requirement"))
+    value = F.col("__given")[F.col("field")]
+    side = F.when(value < F.col("bound"), -1).when(value > F.col("bound"), 1).when(value == F.col("bound"), 0)
+    # the sides that each operator allows
+    allowed = F.expr("CASE op WHEN 'lt' THEN array(-1) WHEN 'le' THEN array(-1, 0) WHEN 'eq' THEN array(0) WHEN 'ge' THEN array(0, 1) WHEN 'gt' THEN array(1) END")
+    broken = used.join(checks, "requirement").where(~F.array_contains(allowed, side))
+    return broken.select(key, "requirement", "field", "op", "bound").distinct()

@@ -408,12 +408,7 @@ def merge_clusters(spark, d):
     return merging.merge_clusters(rows, ["p_brand"], "p_type", "key_value", "effective", "p_partkey")
 
 
-def _words(n: int) -> str:
-    tens = lambda r: spanish.UNITS[r] if r < 30 else spanish.TENS[r // 10] + (f" y {spanish.UNITS[r % 10]}" if r % 10 else "")
-    return "cien" if n == 100 else f"{spanish.HUNDREDS[n // 100]} {tens(n % 100)}".strip()
-
-
-@query(f"""WITH w AS (SELECT [{", ".join(f"'{_words(n)}'" for n in range(1000))}] AS w), o AS (SELECT o_orderkey, o_totalprice::decimal(18,2) AS a, floor(o_totalprice::decimal(18,2))::bigint AS p FROM orders)
+@query(f"""WITH w AS (SELECT [{", ".join(f"'{w}'" for w in spanish.spelled())}] AS w), o AS (SELECT o_orderkey, o_totalprice::decimal(18,2) AS a, floor(o_totalprice::decimal(18,2))::bigint AS p FROM orders)
   SELECT o_orderkey, upper(CASE WHEN p = 0 THEN 'cero' ELSE concat_ws(' ', CASE WHEN p // 1000000 = 1 THEN 'un millón' WHEN p // 1000000 > 1 THEN w[p // 1000000 + 1] || ' millones' END,
     CASE WHEN p // 1000 % 1000 = 1 THEN 'mil' WHEN p // 1000 % 1000 > 1 THEN w[p // 1000 % 1000 + 1] || ' mil' END, CASE WHEN p % 1000 > 0 THEN w[p % 1000 + 1] END) END
     || CASE WHEN p >= 1000000 AND p % 1000000 = 0 THEN ' de' ELSE '' END || ' pesos ' || lpad(((a - p) * 100)::int::varchar, 2, '0') || '/100 M.N.') AS words FROM o, w""")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import changes, cleaning, contracts, coverage, evidence, quotes, register, summaries
 from ..operators import facts as building
-from ..operators.contracts import Clause, Requirement
 from ..sources.readers import table
 from . import queries as base
 from .queries import query
@@ -213,25 +215,40 @@ def canonical_text(spark, d):
 # --- dates ---
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderdate::date - 1 WHEN o_orderkey % 3 = 1 THEN o_orderdate::date END AS cutoff FROM orders""")
+_CUT_ABOUT = "CASE o_orderkey % 4 WHEN 0 THEN 'A building first built ' WHEN 1 THEN 'Homes sold ' WHEN 2 THEN 'Units whose certificate of occupancy was issued ' ELSE 'Housing completed and let for the first time ' END"
+_CUT_RELATION = "CASE o_orderkey % 5 WHEN 0 THEN 'on or before ' WHEN 1 THEN 'before ' WHEN 2 THEN 'PRIOR TO ' WHEN 3 THEN 'on or after ' ELSE 'On or Before ' END"
+_CUT_DAY = r"[a-z]{3,9}\.?\s+[0-9]{1,2},?\s+[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+
+
+@query(rf"""WITH a AS (SELECT o_orderkey, year(o_orderdate) AS y, CASE WHEN o_orderkey % 11 = 0 THEN make_date(year(o_orderdate)::int, 12, 31) ELSE o_orderdate::date END AS day FROM orders),
+  b AS (SELECT *, {_CUT_ABOUT} || {_CUT_RELATION} || CASE o_orderkey % 3 WHEN 0 THEN strftime(day, '%B %-d, %Y') WHEN 1 THEN strftime(day, '%b. %-d %Y') ELSE strftime(day, '%-m/%-d/%Y') END || CASE WHEN o_orderkey % 7 = 0 THEN ' or constructed on or before ' || strftime(day + 40, '%B %-d, %Y') ELSE '' END || '.' AS t FROM a),
+  c AS (SELECT *, unnest(regexp_extract_all(t, '(?i)\b(?:built|constructed|completed|occupancy)\b[^.;]{{0,60}}?(?:on or before|before|prior to|after|on or after)\s+(?:{_CUT_DAY})')) AS m FROM b),
+  e AS (SELECT *, lower(regexp_extract(m, '(?i)(on or before|before|prior to|after)\s+(?:{_CUT_DAY})$', 1)) AS rel, coalesce(try_strptime(regexp_extract(m, '(?i)({_CUT_DAY})$', 1), '%B %d, %Y'), try_strptime(regexp_extract(m, '(?i)({_CUT_DAY})$', 1), '%b. %d %Y'), try_strptime(regexp_extract(m, '(?i)({_CUT_DAY})$', 1), '%m/%d/%Y'))::date AS dd FROM c),
+  f AS (SELECT DISTINCT o_orderkey, CASE WHEN rel = 'on or before' THEN dd ELSE dd - 1 END AS last FROM e WHERE rel <> 'after'),
+  g AS (SELECT f.o_orderkey, min(last) AS last FROM f JOIN b USING (o_orderkey) WHERE year(last) = y GROUP BY f.o_orderkey HAVING count(*) = 1)
+  SELECT o_orderkey, CASE WHEN regexp_matches(t, '(?i)\bcertificates? of occupancy\b') OR strftime(last, '%m-%d') <> '12-31' THEN last END AS cutoff FROM b LEFT JOIN g USING (o_orderkey)""")
 def certificate_cutoff(spark, d):
-    """The one cutoff day in a rule's text; texts with two of one year have none."""
-    day = F.to_date("o_orderdate")
-    written = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "M/d/yyyy"))
-    relation = F.element_at(F.array(F.lit("before "), F.lit("On or before "), F.lit("after ")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    ends = F.when(F.col("o_orderkey") % 3 == 0, F.date_sub(day, 1)).otherwise(day)
-    other = F.date_format(F.when(F.month(ends) == 1, F.date_add(F.trunc(ends, "year"), 45)).otherwise(F.trunc(ends, "year")), "MMMM d, yyyy")
-    wording = F.concat(F.lit("a certificate of occupancy issued "), relation, written, F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit(" or on or before "), other)).otherwise("."))
-    two_or_none = F.when((F.col("o_orderkey") % 7 == 0) & (F.col("o_orderkey") % 3 == 2), F.lit(None)).otherwise(dates.certificate_day(wording, F.year(ends)))
-    return table(spark, d, "orders").select("o_orderkey", two_or_none.alias("cutoff"))
+    """The one cutoff day in a rule's text, by what the text is about; two of one year, or a bare end of a year, give none."""
+    day = F.when(F.col("o_orderkey") % 11 == 0, F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))).otherwise(F.to_date("o_orderdate"))
+    written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "MMMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "MMM. d yyyy")).otherwise(F.date_format(day, "M/d/yyyy"))
+    second = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit(" or constructed on or before "), F.date_format(F.date_add(day, 40), "MMMM d, yyyy"))).otherwise("")
+    wording = F.concat(F.expr(_CUT_ABOUT), F.expr(_CUT_RELATION), written, second, F.lit("."))
+    return table(spark, d, "orders").select("o_orderkey", dates.certificate_day(F.year("o_orderdate"), wording).alias("cutoff"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 6 <> 5 AS stands FROM orders")
+_DATE_FORMS = ("%Y-%m-%d", "%B %-d, %Y", "%b. %d %Y", "%-d %B %Y", "%-m/%-d/%Y", "%m-%d-%y", "%-m.%d.%Y")
+
+
+@query(rf"""WITH t AS (SELECT o_orderkey, o_orderdate::date AS day, CASE o_orderkey % 9 {' '.join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_DATE_FORMS))} WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%d7') ELSE strftime(o_orderdate, 'x%B %-d, %Y') END AS w FROM orders),
+  f AS (SELECT o_orderkey, w, unnest([{', '.join(f"strftime(day, '{f}')" for f in _DATE_FORMS)}]) AS form FROM t)
+  SELECT o_orderkey, bool_or(regexp_matches(' EFFECTIVE ' || upper(w) || ' AT THE LATEST', '[^\p{{L}}\p{{N}}]' || regexp_replace(upper(form), '[.]', '[.]', 'g') || '[^0-9]')) AS stands FROM f GROUP BY o_orderkey""")
 def date_stands_in_text(spark, d):
-    day = F.to_date("o_orderdate")
-    forms = [F.date_format(day, f) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "MM/dd/yyyy")] + [F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("7"))]
-    written = F.concat(F.lit("effective "), F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")), F.lit(" at the latest"))
-    return table(spark, d, "orders").select("o_orderkey", dates.stands_in(day, written).alias("stands"))
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 9
+    spark_forms = ("yyyy-MM-dd", "MMMM d, yyyy", "MMM. dd yyyy", "d MMMM yyyy", "M/d/yyyy", "MM-dd-yy", "M.dd.yyyy")
+    written = F.concat(F.lit("x"), F.date_format(day, "MMMM d, yyyy"))
+    for i, form in enumerate((*spark_forms, "yyyy-MM-dd'7'")):
+        written = F.when(k == i, F.date_format(day, form)).otherwise(written)
+    return table(spark, d, "orders").select("o_orderkey", dates.stands_in(day, F.concat(F.lit(" EFFECTIVE "), F.upper(written), F.lit(" at  the latest"))).alias("stands"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN date_trunc('year', o_orderdate)::date WHEN 1 THEN date_trunc('month', o_orderdate)::date WHEN 2 THEN o_orderdate::date END AS day FROM orders""")
@@ -362,12 +379,15 @@ def audit_run_filter(spark, d):
 # --- contracts ---
 
 REQUIREMENTS = [
-    Requirement("FED-1", "FED", "term", (("term_months", "ge", 6),)), Requirement("FED-2", "FED", "deposit", (("deposit_months", "le", 2),)),
-    Requirement("S1-1", "REGION_1", "deposit", (("deposit_months", "le", 1),)), Requirement("S2-1", "REGION_2", "notice", (("payment_day", "lt", 25),)), Requirement("FED-3", "FED", "price"),
+    ("FED-1", "FED", "term", "law", True), ("FED-2", "FED", "deposit", "law", True), ("S1-1", "REGION_1", "deposit", "law", True), ("S2-1", "REGION_2", "notice", "law", True), ("FED-3", "FED", "price", "law", True),
+    ("FED-4", "FED", "term", "guide", True), ("FED-5", "FED", "deposit", "law", False),
 ]
+CHECKS = [("FED-1", "term_months", "ge", 6), ("FED-2", "deposit_months", "le", 2), ("FED-2", "deposit_months", "le", 2), ("S1-1", "deposit_months", "le", 1), ("S2-1", "payment_day", "lt", 25), ("FED-5", "deposit_months", "le", 0)]
 CLAUSES = [
-    Clause("parties", agreed=True, fields=("name",)), Clause("term", categories=("term",), fields=("term_months",)), Clause("deposit", scope="any", categories=("deposit",), only_with_deposit=True, fields=("deposit", "term_months")),
-    Clause("notice", scope="state", categories=("notice",), fields=("payment_day",)), Clause("guarantor", agreed=True, needs_guarantor=True, fields=("guarantor_name",)), Clause("pets", categories=("pets",)), Clause("price", requirement_ids=("FED-3",)),
+    ("rent", 1, "parties", True, "federal", False, False, ["name"], [], []), ("rent", 2, "term", False, "federal", False, False, ["term_months"], ["term"], []),
+    ("rent", 3, "deposit", False, "any", False, True, ["deposit", "term_months"], ["deposit"], []), ("rent", 4, "notice", False, "state", False, False, ["payment_day"], ["notice"], []),
+    ("rent", 5, "guarantor", True, "federal", True, False, ["guarantor_name"], [], []), ("rent", 6, "pets", False, "federal", False, False, [], ["pets"], []),
+    ("rent", 7, "price", False, "federal", False, False, [], [], ["FED-3"]),
 ]
 _CONTRACT = """c AS (SELECT o_orderkey AS id, r_name AS state, n_regionkey IN (1, 2) AS verified, o_custkey % 3 = 0 AS guarantor, CASE o_orderkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE o_totalprice * (o_orderkey % 5) / 2 END AS deposit, o_totalprice AS rent,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 24 END AS term_months, o_orderkey % 28 AS payment_day, CASE WHEN o_custkey % 2 = 0 THEN 'G' ELSE '' END AS guarantor_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -378,41 +398,39 @@ _PLAN = f"""{_CONTRACT}, names AS (SELECT min(r_name) FILTER (WHERE r_regionkey
 
 
 def _planned(spark, d):
-    names = {r.r_regionkey: r.r_name for r in table(spark, d, "region").where("r_regionkey in (1, 2)").collect()}  # two rows
-    rename = {"REGION_1": names[1], "REGION_2": names[2]}
-    reqs = [Requirement(r.id, rename.get(r.jurisdiction, r.jurisdiction), r.category, r.checks) for r in REQUIREMENTS]
+    regions = table(spark, d, "region").select(F.concat(F.lit("REGION_"), "r_regionkey").alias("jurisdiction"), "r_name")
+    reqs = spark.createDataFrame(REQUIREMENTS, contracts.REQUIREMENTS).join(regions, "jurisdiction", "left").withColumn("jurisdiction", F.coalesce("r_name", "jurisdiction")).drop("r_name")
     places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     deposit = F.when(F.col("o_orderkey") % 4 == 0, 0.0).when(F.col("o_orderkey") % 4 == 1, F.lit(None)).otherwise(F.col("o_totalprice") * (F.col("o_orderkey") % 5) / 2)
     rows = rows.select(
         F.col("o_orderkey").alias("id"), F.col("r_name").alias("state"), F.col("n_regionkey").isin(1, 2).alias("verified"), (F.col("o_custkey") % 3 == 0).alias("guarantor"), deposit.alias("deposit"), F.col("o_totalprice").alias("rent"),
-        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 24).alias("term_months"), (F.col("o_orderkey") % 28).alias("payment_day"), F.when(F.col("o_custkey") % 2 == 0, "G").otherwise("").alias("guarantor_name"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 24).alias("term_months"), (F.col("o_orderkey") % 28).alias("payment_day"), F.when(F.col("o_custkey") % 2 == 0, "G").otherwise("").alias("guarantor_name"), F.lit("rent").alias("template"),
     )
-    return contracts.clause_plan(rows, CLAUSES, reqs), reqs
+    return contracts.clause_plan(rows, spark.createDataFrame(CLAUSES, contracts.CLAUSES), reqs)
 
 
 @query(f"WITH {_PLAN} SELECT id, key, reason, requirements, CASE WHEN reason IS NULL THEN count(*) FILTER (WHERE reason IS NULL) OVER (PARTITION BY id ORDER BY pos) END AS ordinal FROM p")
 def clause_plan(spark, d):
     """Every clause of every contract: why it is left out, or its number and the requirements behind it."""
-    planned, _ = _planned(spark, d)
-    rows = planned.select("id", F.transform(contracts.included(), lambda c: c["key"]).alias("keys"), F.explode("plan").alias("c"))
-    return rows.select("id", "c.key", "c.reason", F.array_join("c.requirements", ",").alias("requirements"), F.when(F.col("c.reason").isNull(), F.array_position("keys", F.col("c.key"))).alias("ordinal"))
+    planned = _planned(spark, d)
+    number = F.when(F.col("reason").isNull(), F.count_if(F.col("reason").isNull()).over(Window.partitionBy("id").orderBy("pos")))
+    return planned.select("id", "key", "reason", F.array_join("requirements", ",").alias("requirements"), number.alias("ordinal"))
 
 
 @query(f"""WITH {_PLAN}, f AS (SELECT *, unnest(CASE key WHEN 'term' THEN ['term_months'] WHEN 'deposit' THEN ['deposit', 'term_months'] WHEN 'notice' THEN ['payment_day'] WHEN 'guarantor' THEN ['guarantor_name'] ELSE [] END) AS field FROM p WHERE reason IS NULL)
   SELECT id, field, string_agg(nullif(requirements, ''), ',' ORDER BY pos) AS requirements FROM f WHERE CASE field WHEN 'term_months' THEN term_months::varchar WHEN 'deposit' THEN deposit::varchar WHEN 'payment_day' THEN payment_day::varchar ELSE guarantor_name END IS NULL OR field = 'guarantor_name' AND guarantor_name = '' GROUP BY id, field""")
 def missing_fields(spark, d):
-    planned, _ = _planned(spark, d)
-    found = contracts.missing_fields(planned, "id", {"term_months": "term_months", "deposit": "deposit", "payment_day": "payment_day", "guarantor_name": "guarantor_name"})
+    found = contracts.missing_fields(_planned(spark, d), "id", {name: F.col(name) for name in ("term_months", "deposit", "payment_day", "guarantor_name")})
     return found.select("id", "field", F.nullif(F.array_join("requirements", ","), F.lit("")).alias("requirements"))
 
 
-@query(f"""WITH {_PLAN}, u AS (SELECT DISTINCT id, unnest(string_split(requirements, ',')) AS requirement, deposit / rent AS months, term_months, payment_day FROM p WHERE reason IS NULL)
-  SELECT id, requirement FROM u WHERE CASE requirement WHEN 'FED-1' THEN term_months < 6 WHEN 'FED-2' THEN months > 2 WHEN 'S1-1' THEN months > 1 WHEN 'S2-1' THEN payment_day >= 25 ELSE false END""")
+@query(f"""WITH {_PLAN}, u AS (SELECT DISTINCT id, unnest(string_split(requirements, ',')) AS requirement, deposit::decimal(18,4) AS held, rent::decimal(18,4) AS rent, term_months, payment_day FROM p WHERE reason IS NULL)
+  SELECT id, requirement FROM u WHERE CASE requirement WHEN 'FED-1' THEN term_months < 6 WHEN 'FED-2' THEN held > 2 * rent WHEN 'S1-1' THEN held > rent WHEN 'S2-1' THEN payment_day >= 25 ELSE false END""")
 def check_violations(spark, d):
-    planned, reqs = _planned(spark, d)
-    values = {"deposit_months": F.col("deposit") / F.col("rent"), "term_months": F.col("term_months"), "payment_day": F.col("payment_day")}
-    return contracts.violations(planned, "id", reqs, values).select("id", "requirement")
+    months = F.col("deposit").cast("decimal(18,4)") / F.col("rent").cast("decimal(18,4)")
+    values = {"deposit_months": months, "term_months": F.col("term_months"), "payment_day": F.col("payment_day")}
+    return contracts.violations(_planned(spark, d), "id", spark.createDataFrame([(*c[:3], Decimal(c[3])) for c in CHECKS], contracts.CHECKS), values).select("id", "requirement")
 
 
 # --- search ---
