@@ -48,3 +48,9 @@ def compare_interval(lo: Column, hi: Column, known: Column, op: str | Column, va
     for name, case in cases.items():
         out = F.when(op == name, case).otherwise(out)
     return F.when(known, out)
+
+
+def in_interval(lo: Column, hi: Column, known: Column, values: Column) -> Column:
+    """Is a value known to lie in [lo, hi] (hi null: unbounded) one of the values (an array)? Null where that does not follow."""
+    within = F.exists(values, lambda v: (v >= lo) & F.coalesce(v <= hi, F.lit(True)))
+    return F.when(known, F.when(~within, False).when(lo == hi, True))
