@@ -1,4 +1,4 @@
-"""Hash-chained evidence: every link holds its predecessor's hash."""
+"""Hash-chained evidence: every link holds its predecessor's hash. A null text reads as an empty one; of links of one order the smaller text is first."""
 
 from __future__ import annotations
 
@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 def link_hashes(events: DataFrame, chain: str, order: str, text: str) -> DataFrame:
     """events with sha (of predecessor's text, ':' and own text) and prev_sha (the predecessor's sha)."""
-    w = Window.partitionBy(chain).orderBy(order)
-    sha = F.sha2(F.concat(F.coalesce(F.lag(text).over(w), F.lit("")), F.lit(":"), F.col(text)), 256)
+    w = Window.partitionBy(chain).orderBy(order, text)
+    own = F.coalesce(text, F.lit(""))
+    sha = F.sha2(F.concat(F.coalesce(F.lag(own).over(w), F.lit("")), F.lit(":"), own), 256)
     linked = events.withColumn("sha", sha)
     return linked.withColumn("prev_sha", F.lag("sha").over(w))
 
 
 def chain_status(links: DataFrame, chain: str, order: str, text: str, claimed: str, claimed_prev: str) -> DataFrame:
     """links with valid: own hash and link are right, and so were all before it."""
-    w = Window.partitionBy(chain).orderBy(order)
+    w = Window.partitionBy(chain).orderBy(order, text)
     true = link_hashes(links, chain, order, text)
     good = (F.col(claimed) == F.col("sha")) & F.col(claimed_prev).eqNullSafe(F.col("prev_sha"))
     return true.withColumn("valid", F.min(good.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1)

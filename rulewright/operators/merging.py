@@ -7,20 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def follow(records: DataFrame, key: str, into: str, max_rounds: int = 40) -> DataFrame:
+def follow(records: DataFrame, key: str, into: str) -> DataFrame:
     """(key, last): where each record's chain of ``into`` ends; null if it runs in a circle.
 
-    Pointers are doubled: every round halves what is left of a chain, so rounds grow with the logarithm of
-    the longest one. A pointer to no record ends the chain there.
+    Pointers are doubled: every round halves what is left of a chain, so as many rounds as the number of records has
+    binary digits end all chains, and what still moves then runs in a circle. A pointer to no record ends the chain
+    there. A round is kept until the next one has been computed from it.
     """
-    pointers = records.select(key, F.coalesce(into, key).alias("last"))
-    moving = pointers.where(F.col(key) != F.col("last")).select(F.col(key).alias("last"), F.lit(True).alias("__open"))
-    for _ in range(max_rounds):
+    pointers = records.select(key, F.coalesce(into, key).alias("last")).persist()
+    moving = records.where(F.col(into).isNotNull() & (F.col(into) != F.col(key))).select(F.col(key).alias("last"), F.lit(True).alias("__open"))
+    for _ in range(pointers.count().bit_length() + 1):
         ahead = pointers.select(F.col(key).alias("last"), F.col("last").alias("__next"))
-        before = pointers
-        pointers = before.join(ahead, "last", "left").select(key, F.coalesce("__next", "last").alias("last"), F.col("last").alias("__was")).persist()
-        done = pointers.where("last <> __was").isEmpty()
-        pointers = pointers.drop("__was")
+        now = pointers.join(ahead, "last", "left").select(key, F.coalesce("__next", "last").alias("last"), F.col("last").alias("__was")).persist()
+        done = now.where("last <> __was").isEmpty()
+        now.count()
+        pointers.unpersist()
+        pointers = now
         if done:
             break
     return pointers.join(moving, "last", "left").select(key, F.when(F.col("__open").isNull(), F.col("last")).alias("last"))

@@ -21,10 +21,11 @@ def effective_at(rows: DataFrame, keys: list[str], date: str, as_of: Column) ->
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str, missing: str = "omitted") -> DataFrame:
-    """Keys whose value differs between two answers, with both values."""
-    old, new = before.select(*keys, F.col(value).alias("before")), after.select(*keys, F.col(value).alias("after"))
-    both = old.join(new, keys, "full_outer").na.fill(missing, ["before", "after"])
-    return both.where("before <> after")
+    """Keys whose value differs between two answers, with both values; missing where one has no such key, null where it has no value."""
+    side = lambda df, name: df.select(*keys, F.struct(F.col(value).cast("string").alias("v")).alias(name))
+    both = side(before, "before").join(side(after, "after"), keys, "full_outer")
+    told = lambda name: F.when(F.col(name).isNull(), missing).otherwise(F.col(f"{name}.v")).alias(name)
+    return both.select(*keys, told("before"), told("after")).where("not before <=> after")
 
 
 def timeline(facts: DataFrame, keys: list[str], status: Column, dates: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ def first_wins_dedupe(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256), "n_chars").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n_chars")
 
 
-@query("SELECT s_suppkey, n_regionkey::varchar || '-' || s_nationkey::varchar || '-H' || lpad(row_number() OVER (PARTITION BY n_regionkey, s_nationkey ORDER BY s_name, s_suppkey)::varchar, 2, '0') AS rule_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, n_regionkey::varchar || '-' || s_nationkey::varchar || '-H' || format('{:02d}', row_number() OVER (PARTITION BY n_regionkey, s_nationkey ORDER BY s_name, s_suppkey)) AS rule_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def assign_ids(spark, d):
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return rules.assign_ids(rows, ["n_regionkey", "s_nationkey"], ["s_name", "s_suppkey"]).select("s_suppkey", "rule_id")

@@ -19,7 +19,7 @@ def manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def headed_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, source, retrieved, text, ok) of texts that open with SOURCE: and RETRIEVED: lines."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     form = r"(?s)^SOURCE: ([^\n]*)\nRETRIEVED: ([^\n]*)\n(.*)$"
     part = lambda i: F.regexp_extract("value", form, i)
     return raw.select("path", part(1).alias("source"), F.expr(r"try_to_timestamp(regexp_extract(value, '(?s)^SOURCE: [^\\n]*\\nRETRIEVED: ([^\\n]*)', 1))").alias("retrieved"), part(3).alias("text"), F.col("value").rlike(form).alias("ok"))

@@ -1,11 +1,13 @@
 """Merging, units, words and sinks against plain versions."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import spanish, text
-from rulewright.operators import merging, rules
-from rulewright.sources import writers
+from rulewright.operators import evidence, merging, rules, status
+from rulewright.sources import readers, writers
 
 
 def test_merge_clusters_match_a_greedy_loop(spark):
@@ -22,9 +24,10 @@ def test_merge_clusters_match_a_greedy_loop(spark):
 
 def test_follow_ends_and_circles(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (8, 9), (9, 8), (7, 70)], "k long, into long")
-    assert {r.k: r.last for r in merging.follow(df, "k", "into", 6).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: None, 9: None, 7: 70}
+    assert {r.k: r.last for r in merging.follow(df, "k", "into").collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: None, 9: None, 7: 70}
 
 
+# Unit counts that these type codes stand for.
 @pytest.mark.parametrize(
     ("code", "units"),
     [("3S-F-D-6U-NH", 6), ("4-S-BT-21U-H", 21), ("3B-7U/4B-24U-G", 31), ("2F-4U/2F-2U", 6), ("5B-1OU", 10), ("13B-93U-2C-G", 93), ("2,4B-16U-H-X", 16), ("4 1/2B-10U-BA", 10), ("3SF3UG", None), ("USCB16UG", None), ("3SB", None)],
@@ -70,3 +73,30 @@ def test_search_folds_accents_and_puts_starts_first(spark):
 
     rows = spark.createDataFrame([(1, "Del Ángel"), (2, "ÁNGELES"), (3, "Angelópolis"), (4, "Norte"), (5, None)], "k long, name string")
     assert [r.k for r in search(rows, "name", "ángel", "k", 10).collect()] == [2, 3, 1]
+
+
+def test_diff_tells_null_from_omitted(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    got = {tuple(r) for r in status.diff(rows((1, "a"), (2, None), (3, None), (4, "d")), rows((1, "a"), (2, None), (3, "c"), (5, None)), ["k"], "v").collect()}
+    assert got == {(3, None, "c"), (4, "d", "omitted"), (5, "omitted", None)}
+
+
+def test_chains_with_nulls_and_ties(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, "b"), (1, 2, "a"), (2, 1, "")], "c int, n int, t string")
+    got = [(r.c, r.t, r.sha, r.prev_sha) for r in evidence.link_hashes(rows, "c", "n", "t").orderBy("c", "n", "t").collect()]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == [(1, None, sha(":"), None), (1, "a", sha(":a"), sha(":")), (1, "b", sha("a:b"), sha(":a")), (2, "", sha(":"), None)]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("doc,url\n a ,http://x\nb,\n")
+    assert [tuple(r) for r in readers.manifest(spark, str(tmp_path / "m.csv"), ["doc", "url"]).orderBy("doc").collect()] == [("a", "http://x"), ("b", "")]
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "1.txt").write_text("SOURCE: http://x\nRETRIEVED: 2024-05-06T07:08:09Z\nFirst line\nsecond\n")
+    (folder / "2.txt").write_text("no head")
+    got = {r.path[-5:]: r for r in readers.headed_texts(spark, str(folder)).collect()}
+    assert got["1.txt"].ok and got["1.txt"].source == "http://x" and got["1.txt"].text == "First line\nsecond\n" and got["1.txt"].retrieved.year == 2024
+    assert not got["2.txt"].ok
+    rows = readers.json_records(spark.createDataFrame([('{"k": 1}',), ("{oops",), ("[1]",), (None,)], "line string"), "line").collect()
+    assert [r.usable for r in rows] == [True, False, False, False]
