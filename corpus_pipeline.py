@@ -3,10 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents.
 
-Defined results: a null or blank text fails the quality rules and goes there; a null id is judged like any other row and
-keeps its lines; repeated rows are judged alike and of those with equal texts one stays; of equals the smallest doc_id
-stays; an empty table gives no rows; texts of any length are read whole; further columns pass through to the last stage,
-whatever their names.
+Defined results: a null or blank text fails the quality rules and goes there; a row without id goes only if the quality
+rules reject it, as the later stages decide by id; rows of one id are one document and stay or go together; of like documents
+the smallest doc_id stays; an empty table gives no rows; texts of any length are read whole; further columns are kept up to
+the last stage.
 """
 
 from __future__ import annotations
