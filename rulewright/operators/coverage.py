@@ -9,12 +9,15 @@ from ..functions.kleene import code, compare_interval, negate_code
 
 
 def leaf_results(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: DataFrame) -> DataFrame:
-    """A row per address, rule that reaches it and leaf of the rule, with r: 0, 1 or 2 for false, unknown and true."""
+    """A row per address, rule that reaches it and leaf of the rule, with r: 0, 1 or 2 for false, unknown and true;
+    presumed and ranged: whether r rests on a presumption, or was asked of a fact known as a range only."""
     pairs = levels.join(rules, ["level", "jurisdiction"]).select("address", "rule_id", "presume")
     asked = pairs.join(leaves, "rule_id").join(facts, ["address", "fact"], "left")
     plain = code(compare_interval(F.col("lo"), F.col("hi"), F.coalesce("known", F.lit(False)), F.col("op"), F.col("value")))
-    presumed = F.when((plain == 1) & F.col("presume") & F.col("fact").startswith("flag_"), 0).otherwise(plain)
-    return asked.withColumn("r", F.when(F.col("negated"), negate_code(presumed)).otherwise(presumed))
+    guess = (plain == 1) & F.coalesce("presume", F.lit(False)) & F.col("fact").startswith("flag_")
+    presumed = F.when(guess, 0).otherwise(plain)
+    ranged = F.coalesce("known", F.lit(False)) & ~F.col("lo").eqNullSafe(F.col("hi"))
+    return asked.withColumns({"r": F.when(F.col("negated"), negate_code(presumed)).otherwise(presumed), "presumed": guess, "ranged": ranged})
 
 
 def verdicts(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -28,6 +31,27 @@ def verdicts(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: Data
     return _decided(leaf_results(levels, facts, rules, leaves)).select("address", "rule_id", "verdict", "n_missing")
 
 
+def reasoned(levels: DataFrame, facts: DataFrame, rules: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(address, rule_id, verdict, n_missing, because, coverage_confidence) of every rule that reaches an address.
+
+    A rule without leaves covers all that it reaches. because: the facts that decide the verdict, sorted, or that leave it
+    open. A fact known as a range, and a presumption that a decided verdict rests on, weaken it to nine tenths each.
+    """
+    asked = leaf_results(levels, facts, rules, leaves)
+    seen = asked.groupBy("address", "rule_id").agg(F.bool_or("ranged").alias("ranged"), F.bool_or("presumed").alias("presumed"), F.collect_set(F.struct("kind", "r", "fact")).alias("seen"))
+    found = _decided(asked).join(seen, ["address", "rule_id"])
+    of = lambda kind, r: F.filter("seen", lambda x: (x["kind"] == kind) & (x["r"] == r))
+    none = F.filter("seen", lambda x: F.lit(False))
+    open_ = F.concat(F.when(F.col("c") == 1, of("covers", 1)).otherwise(none), F.when(F.col("e") == 1, of("exempts", 1)).otherwise(none))
+    picked = F.when(F.col("verdict") == "not_covered", of("covers", 0)).when(F.col("verdict") == "exempt", of("exempts", 2)).when(F.col("verdict") == "covered", of("covers", 2)).otherwise(open_)
+    tenth = lambda weak: F.when(weak, 0.9).otherwise(1.0)
+    weight = tenth(F.col("ranged")) * tenth(F.col("presumed") & F.col("verdict").isin("covered", "not_covered"))
+    found = found.select("address", "rule_id", "verdict", "n_missing", F.array_sort(F.array_distinct(F.transform(picked, lambda x: x["fact"]))).alias("because"), weight.alias("coverage_confidence"))
+    reached = levels.join(rules, ["level", "jurisdiction"]).select("address", "rule_id")
+    given = {"verdict": F.lit("covered"), "n_missing": F.lit(0).cast("long"), "because": F.array().cast("array<string>"), "coverage_confidence": F.lit(1.0)}
+    return reached.join(found, ["address", "rule_id"], "left").select("address", "rule_id", *(F.coalesce(c, v).alias(c) for c, v in given.items()))
+
+
 def _decided(asked: DataFrame) -> DataFrame:
     items = asked.groupBy("address", "rule_id", "kind", "item", "conj").agg(F.min("r").alias("r"), F.count_if(F.col("r") == 1).alias("u"))
     items = items.groupBy("address", "rule_id", "kind", "item").agg(F.max("r").alias("r"), F.sum("u").alias("u"))

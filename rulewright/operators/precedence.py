@@ -7,16 +7,19 @@ Entries are structs with ENTRY's fields, in rule order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 INPUT = ("rule_ord", "rule_id", "own", "base", "category", "status", "verdict", "confidence", "coverage_confidence")
 REVIEW_BELOW = 0.5
 FALLBACK_FACTOR = 0.85
 
-Edges = Mapping[str, Sequence[str]]
+#: What the edges of a rule become in its entry: the ids of the rules they lead to.
+KINDS = ("other_law", "depends", "yields", "preempts")
 
 
 def base_result(status: Column, verdict: Column) -> Column:
@@ -37,11 +40,7 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _targets(entries: Column, edges: Edges, rule: Column) -> Column:
-    """The entries that a rule's edges lead to; none for a rule without edges."""
-    names = F.array().cast("array<string>")
-    for source, targets in edges.items():
-        names = F.when(rule == source, F.array(*(F.lit(t) for t in targets))).otherwise(names)
+def _targets(entries: Column, names: Column) -> Column:
     return F.filter(entries, lambda x: F.array_contains(names, x["rule_id"]))
 
 
@@ -55,11 +54,11 @@ def _undecided(result: Column) -> Column:
     return F.coalesce(result.isin("applies", "unknown"), F.lit(False))
 
 
-def supersede(entries: Column, edges: Edges, basis: str) -> Column:
+def supersede(entries: Column, kind: str, basis: str) -> Column:
     """An edge's source gives way to the best target, or may have to where none is sure."""
 
     def turn(e: Column) -> Column:
-        targets = _targets(entries, edges, e["rule_id"])
+        targets = _targets(entries, e[kind])
         best = _best(targets)
         maybe = F.transform(F.filter(targets, lambda x: (x["status"] == "in_force") & x["result"].isNotNull() & (x["verdict"] == "unknown")), lambda x: x["rule_id"])
         gives = _undecided(e["result"]) & best.isNotNull()
@@ -75,26 +74,26 @@ def supersede(entries: Column, edges: Edges, basis: str) -> Column:
     return F.transform(entries, turn)
 
 
-def depend(entries: Column, edges: Edges) -> Column:
+def depend(entries: Column) -> Column:
     """A rule defined by another law's coverage needs that law to apply; unknown if that is not decided."""
 
     def turn(e: Column) -> Column:
-        targets = _targets(entries, edges, e["rule_id"])
+        targets = _targets(entries, e["depends"])
         via = F.exists(targets, lambda x: F.coalesce(x["result"] == "applies", F.lit(False)))
         open_ = F.exists(targets, lambda x: x["result"].isNotNull() & ((x["result"] == "unknown") | (x["verdict"] == "unknown")))
-        asks = e["rule_id"].isin(*edges) & e["result"].isNotNull() & ~via
+        asks = e["asks"] & e["result"].isNotNull() & ~via
         weak = F.when(open_, F.when(e["result"] == "applies", "unknown").otherwise(e["result"]))
         return _with(e, result=F.when(asks, weak).otherwise(e["result"]))
 
     return F.transform(entries, turn)
 
 
-def retarget(entries: Column, edges: Edges) -> Column:
+def retarget(entries: Column) -> Column:
     """A rule superseded by one that does not apply itself follows to a candidate that does."""
 
     def turn(e: Column) -> Column:
         idle = F.exists(entries, lambda x: (x["rule_id"] == e["superseded_by"]) & (F.coalesce(x["result"], F.lit("")) != "applies"))
-        best = _best(_targets(entries, edges, e["rule_id"]))
+        best = _best(_targets(entries, F.array_union(e["other_law"], e["yields"])))
         moves = F.coalesce((e["result"] == "superseded") & idle & ~best["idle"], F.lit(False))
         return _with(e, superseded_by=F.when(moves, best["rule_id"]).otherwise(e["superseded_by"]))
 
@@ -119,35 +118,62 @@ def same_law(entries: Column) -> Column:
     return F.transform(entries, turn)
 
 
-def preempt(entries: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+def preempt(entries: Column) -> Column:
     """Both rules of a pair are flagged where both have a result; neither gives way."""
-    edges: dict[str, list[str]] = {}
-    for a, b in pairs:
-        edges.setdefault(a, []).append(b)
-        edges.setdefault(b, []).append(a)
-    flag: Callable = lambda e: e["result"].isNotNull() & F.exists(_targets(entries, edges, e["rule_id"]), lambda x: x["result"].isNotNull())
+    flag: Callable = lambda e: e["result"].isNotNull() & F.exists(_targets(entries, e["preempts"]), lambda x: x["result"].isNotNull())
     return F.transform(entries, lambda e: _with(e, conflict=flag(e)))
 
 
-def resolve(rows: DataFrame, other_law: Edges, depends: Edges, yields: Edges, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+PASSES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+    ("other_law", lambda x: supersede(x, "other_law", "other_law")), ("depends", depend), ("yields", lambda x: supersede(x, "yields", "overrides")),
+    ("retarget", retarget), ("same_law", same_law), ("preempt", preempt),
+)
+
+
+def by_rule(edges: DataFrame) -> DataFrame:
+    """(rule_id, KINDS, asks): a row per rule with edges. edges: (kind, source, target); a pair that preempts counts
+    both ways. asks: it has a depends edge, if only one without target."""
+    back = edges.where("kind = 'preempts'").select("kind", F.col("target").alias("source"), F.col("source").alias("target"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("target")))).alias(kind)
+    return edges.select("kind", "source", "target").unionByName(back).groupBy(F.col("source").alias("rule_id")).agg(*map(of, KINDS), F.bool_or(F.col("kind") == "depends").alias("asks"))
+
+
+def _noted(step: str, turn: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The pass, with a note in each entry whose result or superseding rule it changed."""
+
+    def note(old: Column, new: Column) -> Column:
+        same = old["result"].eqNullSafe(new["result"]) & old["superseded_by"].eqNullSafe(new["superseded_by"])
+        line = F.struct(F.lit(step).alias("step"), new["result"].alias("result"), new["superseded_by"].alias("by"))
+        return new.withField("steps", F.when(same, old["steps"]).otherwise(F.concat(old["steps"], F.array(line))))
+
+    return lambda x: F.zip_with(x, turn(x), note)
+
+
+def resolve(rows: DataFrame, edges: DataFrame, steps: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """address, rule_id, result, superseded_by, basis, may_yield_to, conflict, confidence and needs_review of
     every rule that is not omitted.
 
-    rows: (address, fallback, INPUT), one per address and rule that reaches it. fallback: the address was
-    placed by its data set's city only. The passes run in the order other law, dependence, yielding,
-    retargeting, same law, preemption; each sees the results of the one before.
+    rows: (address, fallback, INPUT), one per address and rule that reaches it. edges: (kind, source, target), as
+    laws.edges() reads them from the rules' texts. fallback: the address was placed by its data set's city only.
+    The passes run in the order of PASSES; each sees the results of the one before. steps: also the omitted rules,
+    with a null result, and a column of (step, result, by): the base result, then every pass that changed it.
+    keep: further columns of rows to return.
     """
-    none = F.lit(None).cast("string")
-    own = F.struct(*INPUT, base_result(F.col("status"), F.col("verdict")).alias("result"), none.alias("superseded_by"), none.alias("basis"), F.array().cast("array<string>").alias("may_yield_to"), F.lit(False).alias("conflict"))
-    each = rows.select("address", "fallback", own.alias("e")).groupBy("address").agg(F.any_value("fallback").alias("fallback"), F.array_sort(F.collect_list("e")).alias("entries"))
-    both = {r: [*other_law.get(r, ()), *yields.get(r, ())] for r in {*other_law, *yields}}
-    passes: tuple[Callable, ...] = (
-        lambda x: supersede(x, other_law, "other_law"), lambda x: depend(x, depends), lambda x: supersede(x, yields, "overrides"),
-        lambda x: retarget(x, both), same_law, lambda x: preempt(x, pairs),
-    )
-    for step in passes:
-        each = each.select("address", "fallback", _bound(F.col("entries"), step).alias("entries"))
-    out = each.select("address", "fallback", F.explode("entries").alias("e")).where("e.result is not null")
+    none, ids = F.lit(None).cast("string"), F.array().cast("array<string>")
+    base = base_result(F.col("status"), F.col("verdict"))
+    first = F.array(F.struct(F.lit("base").alias("step"), base.alias("result"), none.alias("by")))
+    led = rows.join(small(by_rule(edges)), "rule_id", "left")
+    links = (*(F.coalesce(k, ids).alias(k) for k in KINDS), F.coalesce("asks", F.lit(False)).alias("asks"))
+    own = F.struct(*INPUT, *(c for c in keep if c not in INPUT), base.alias("result"), none.alias("superseded_by"), none.alias("basis"), ids.alias("may_yield_to"), F.lit(False).alias("conflict"), *links, *((first.alias("steps"),) if steps else ()))
+    each = led.select("address", "fallback", own.alias("e")).groupBy("address").agg(F.any_value("fallback").alias("fallback"), F.array_sort(F.collect_list("e")).alias("entries"))
+    for name, turn in PASSES:
+        each = each.select("address", "fallback", _bound(F.col("entries"), _noted(name, turn) if steps else turn).alias("entries"))
+    out = each.select("address", "fallback", F.explode("entries").alias("e"))
+    if not steps:
+        out = out.where("e.result is not null")
     given = F.when(F.coalesce(F.col("e.confidence"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("e.confidence"))
     confidence = F.round(given * F.col("e.coverage_confidence") * F.when(F.col("fallback"), FALLBACK_FACTOR).otherwise(1.0), 3)
-    return out.select("address", *(F.col(f"e.{c}").alias(c) for c in ("rule_id", "result", "superseded_by", "basis", "may_yield_to", "conflict")), confidence.alias("confidence"), (confidence < REVIEW_BELOW).alias("needs_review"))
+    return out.select(
+        "address", *(F.col(f"e.{c}").alias(c) for c in ("rule_id", "result", "superseded_by", "basis", "may_yield_to", "conflict", *(("steps",) if steps else ()), *keep)),
+        confidence.alias("confidence"), (confidence < REVIEW_BELOW).alias("needs_review"),
+    )

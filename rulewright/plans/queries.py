@@ -354,30 +354,37 @@ def _give_way(new: str, old: str, edges, basis: str) -> str:
     CASE WHEN best IS NULL THEN list_distinct(may || coalesce(maybe, [])) ELSE may END AS may) FROM {old} LEFT JOIN {new}_c USING (address, rule_id))"""
 
 
-_PRECEDENCE = f"""WITH laws AS (SELECT * FROM (VALUES {", ".join(str(x).replace("None", "NULL") for x in LAWS)}) l(rule_ord, rule_id, own, base, category, status, confidence)),
-e AS (SELECT c_custkey AS address, c_custkey % 50 = 0 AS fallback, laws.* FROM customer, laws), f AS (SELECT *, {_REACHES} AS verdict FROM e),
-p0 AS (SELECT *, CASE WHEN verdict IN ('not_covered', 'exempt') THEN NULL WHEN status = 'pending' THEN 'pending' WHEN verdict = 'covered' THEN 'applies' ELSE 'unknown' END AS result,
+def _passes(other_law, depends, yields, pairs) -> str:
+    """The passes as joins, from f (the entries) to p6."""
+    both_ways = ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in pairs)
+    return f"""p0 AS (SELECT *, CASE WHEN verdict IN ('not_covered', 'exempt') OR status = 'failed' THEN NULL WHEN status IN ('pending', 'not_yet_effective') THEN status WHEN verdict = 'covered' THEN 'applies' ELSE 'unknown' END AS result,
   NULL::varchar AS superseded_by, NULL::varchar AS basis, []::varchar[] AS may FROM f),
-{_give_way("p1", "p0", OTHER_LAW, "other_law")},
-p2_c AS (SELECT s.address, s.rule_id, bool_or(coalesce(t.result = 'applies', false)) AS via, bool_or(t.result IS NOT NULL AND (t.result = 'unknown' OR t.verdict = 'unknown')) AS undecided
-  FROM p1 s JOIN {_values(DEPENDS)} ON s.rule_id = src JOIN p1 t ON t.address = s.address AND t.rule_id = dst GROUP BY 1, 2),
+{_give_way("p1", "p0", other_law, "other_law")},
+p2_c AS (SELECT s.address, s.rule_id, bool_or(coalesce(t.result = 'applies', false)) AS via, bool_or(coalesce(t.result IS NOT NULL AND (t.result = 'unknown' OR t.verdict = 'unknown'), false)) AS undecided
+  FROM p1 s JOIN {_values(depends)} ON s.rule_id = src LEFT JOIN p1 t ON t.address = s.address AND t.rule_id = dst GROUP BY 1, 2),
 p2 AS (SELECT p1.* REPLACE (CASE WHEN via IS NULL OR via THEN result WHEN undecided AND result = 'applies' THEN 'unknown' WHEN undecided THEN result END AS result) FROM p1 LEFT JOIN p2_c USING (address, rule_id)),
-{_give_way("p3", "p2", YIELDS, "overrides")},
+{_give_way("p3", "p2", yields, "overrides")},
 p4_c AS (SELECT s.address, s.rule_id, min(t.rule_id) FILTER (WHERE t.own) AS b1, min(t.rule_id) AS b2
-  FROM p3 s JOIN (SELECT * FROM {_values(OTHER_LAW)} UNION SELECT * FROM {_values(YIELDS)}) ON s.rule_id = src JOIN p3 t ON t.address = s.address AND t.rule_id = dst
+  FROM p3 s JOIN (SELECT * FROM {_values(other_law)} UNION SELECT * FROM {_values(yields)}) ON s.rule_id = src JOIN p3 t ON t.address = s.address AND t.rule_id = dst
   JOIN p3 u ON u.address = s.address AND u.rule_id = s.superseded_by WHERE u.result IS DISTINCT FROM 'applies' AND t.status = 'in_force' AND t.result = 'applies' AND t.verdict = 'covered' GROUP BY 1, 2),
 p4 AS (SELECT p3.* REPLACE (CASE WHEN result = 'superseded' THEN coalesce(b1, b2, superseded_by) ELSE superseded_by END AS superseded_by) FROM p3 LEFT JOIN p4_c USING (address, rule_id)),
 p5_c AS (SELECT s.address, s.rule_id, arg_min(t.rule_id, t.rule_ord) AS kin, arg_min(t.superseded_by, t.rule_ord) AS over FROM p4 s JOIN p4 t ON t.address = s.address AND t.base = s.base AND t.category = s.category AND t.rule_id <> s.rule_id
   WHERE t.result = 'superseded' AND s.result IN ('applies', 'unknown') AND s.status = 'in_force' GROUP BY 1, 2),
 p5 AS (SELECT p4.* REPLACE (CASE WHEN kin IS NULL THEN result ELSE 'superseded' END AS result, coalesce(over, superseded_by) AS superseded_by, coalesce('same_law:' || kin, basis) AS basis) FROM p4 LEFT JOIN p5_c USING (address, rule_id)),
-p6 AS (SELECT s.*, EXISTS (SELECT 1 FROM p5 t JOIN (VALUES ('A', 'D'), ('D', 'A'), ('C', 'E'), ('E', 'C')) v(a, b) ON t.rule_id = v.b WHERE t.address = s.address AND v.a = s.rule_id AND t.result IS NOT NULL) AS conflict FROM p5 s WHERE s.result IS NOT NULL)"""
+p6 AS (SELECT s.*, EXISTS (SELECT 1 FROM p5 t JOIN (VALUES {both_ways}) v(a, b) ON t.rule_id = v.b WHERE t.address = s.address AND v.a = s.rule_id AND t.result IS NOT NULL) AS conflict FROM p5 s WHERE s.result IS NOT NULL)"""
+
+
+_PRECEDENCE = f"""WITH laws AS (SELECT * FROM (VALUES {", ".join(str(x).replace("None", "NULL") for x in LAWS)}) l(rule_ord, rule_id, own, base, category, status, confidence)),
+e AS (SELECT c_custkey AS address, c_custkey % 50 = 0 AS fallback, laws.* FROM customer, laws), f AS (SELECT *, {_REACHES} AS verdict FROM e),
+{_passes(OTHER_LAW, DEPENDS, YIELDS, PAIRS)}"""
 
 
 def precedence_rows(spark: SparkSession, d: str) -> DataFrame:
     law = [F.struct(*(F.lit(v).alias(k) for k, v in zip(("rule_ord", "rule_id", "own", "base", "category", "status"), x, strict=False)), F.lit(x[-1]).cast("double").alias("confidence")) for x in LAWS]
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("address"), (F.col("c_custkey") % 50 == 0).alias("fallback"), F.explode(F.array(*law)).alias("law")).select("address", "fallback", "law.*")
     rows = rows.withColumn("verdict", F.expr(_REACHES)).withColumn("coverage_confidence", F.when(F.col("verdict") == "unknown", 0.8).otherwise(1.0))
-    return precedence.resolve(rows, OTHER_LAW, DEPENDS, YIELDS, PAIRS)
+    edges = [(kind, a, b) for kind, of in (("other_law", OTHER_LAW), ("depends", DEPENDS), ("yields", YIELDS)) for a, bs in of.items() for b in bs]
+    return precedence.resolve(rows, spark.createDataFrame([*edges, *(("preempts", a, b) for a, b in PAIRS)], "kind string, source string, target string"))
 
 
 @query(_PRECEDENCE + """ SELECT address, rule_id, result, superseded_by, basis, list_aggregate(list_sort(may), 'string_agg', ',') AS may_yield_to, conflict FROM p6""")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from rulewright.plans import queries as plans
-from rulewright.plans import records, verification  # noqa: F401  (add their queries to the same registry)
+from rulewright.plans import lookups, records, verification  # noqa: F401  (add their queries to the same registry)
 
 DATA = os.environ.get("RULEWRIGHT_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
