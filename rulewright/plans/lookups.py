@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import laws, lookup
+from ..operators import headings, laws, lookup, similar
 from ..sources.readers import table
 from . import queries as base
 from .queries import query
@@ -129,3 +130,28 @@ def review_flags(spark, d):
     flags = spark.createDataFrame(_FLAGS, "flag string, jurisdiction string, category string, stage string, note string")
     staged = rows.withColumn("stage", F.col("disposition"))
     return laws.review_flags(staged, flags, ["jurisdiction", "category", "stage"]).select("rule_id", "conflict_flag", "conflict_note")
+
+
+@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+  placed AS (SELECT doc_id, line, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS pos FROM lines),
+  heads AS (SELECT doc_id, pos, line FROM placed WHERE length(line) BETWEEN 1 AND 40), spans AS (SELECT doc_id, n AS key, pos + 5 AS s, pos + 205 AS e FROM placed WHERE n % 3 = 1),
+  near AS (SELECT spans.doc_id, key, arg_max(line, (pos, line)) AS line FROM spans JOIN heads ON heads.doc_id = spans.doc_id AND pos <= s GROUP BY 1, 2),
+  inside AS (SELECT spans.doc_id, key, list(line ORDER BY pos) AS inner_lines FROM spans JOIN heads ON heads.doc_id = spans.doc_id AND pos >= s AND pos < e GROUP BY 1, 2)
+  SELECT spans.doc_id, spans.key, array_to_string(CASE WHEN near.line IS NULL THEN [] ELSE [near.line] END || coalesce(inner_lines, []), '|') AS anchors FROM spans LEFT JOIN near USING (doc_id, key) LEFT JOIN inside USING (doc_id, key)""")
+def heading_anchors(spark, d):
+    """Short lines as headings; spans of 200 characters from every third line on."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    ahead = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(ahead), F.lit(0)))
+    heads = placed.where("length(line) between 1 and 40").select("doc_id", F.col("at").alias("position"), F.col("line").alias("name"))
+    spans = placed.where("n % 3 = 0").select("doc_id", (F.col("n") + 1).cast("long").alias("key"), (F.col("at") + 5).alias("start"), (F.col("at") + 205).alias("end"))
+    return headings.anchors(spans, heads).select("doc_id", "key", F.array_join("anchors", "|").alias("anchors"))
+
+
+@query(None)
+def figures_in_force(spark, d):
+    """A customer's orders as figures of one rule, in force from their day on, some without end: those worded unlike any earlier one."""
+    figure = F.concat(F.lit("at most $"), F.format_string("%.2f", "o_totalprice"), F.lit(", "), F.lower("o_orderpriority"))
+    until = F.when(F.col("o_orderkey") % 3 != 0, F.date_add(F.to_date("o_orderdate"), 900))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("rule"), F.col("o_orderkey").alias("figure_id"), figure.alias("figure"), F.to_date("o_orderdate").alias("start"), until.alias("until"))
+    return similar.in_force(rows, "rule", "figure_id", "figure", "start", "until", F.lit(_DAY), 85).select("rule", "figure_id", "figure")

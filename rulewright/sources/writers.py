@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where jobs keep tables between rounds: spark.checkpoint.dir, which driver and executors share. A session without it
+    gets a temporary folder if it runs in one process, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
 def json_lines(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
     """One JSON object per row; a folder per value of ``by``. A run replaces only the folders it writes."""
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
