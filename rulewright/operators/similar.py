@@ -38,7 +38,13 @@ def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 def _tokens(text: Column, size: int) -> Column:
     """Runs of ``size`` characters, each with how often it stood before: a set that counts repeats."""
     grams = F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(grams, lambda g, i: F.concat(g, F.lit("\x00"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+    ordered = F.array_sort(grams)  # equal runs stand together, so a run's number is its distance from the first
+    return F.get(F.transform(F.array(ordered), lambda a: F.transform(a, lambda g, i: F.concat(g, F.lit("\x00"), (i + 1 - F.array_position(a, g)).cast("string")))), F.lit(0))
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join that never gathers them at the driver: exploded rows are many more than Spark's estimate of them."""
+    return rows.hint("merge")
 
 
 def pairs(texts: DataFrame, group: str, key: str, text: str, percent: int) -> DataFrame:
@@ -67,15 +73,15 @@ def pairs(texts: DataFrame, group: str, key: str, text: str, percent: int) -> Da
     )
     held = each.select("g", "k", size.alias("n"), F.explode(kinds).alias("x")).select("g", "k", "n", "x.size", "x.lost", F.explode("x.tokens").alias("token"))
     often = held.groupBy("g", "size", "token").agg(F.count("*").alias("often"))
-    ranked = held.join(often, ["g", "size", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "k", "size").orderBy("often", "token")))
+    ranked = _shuffled(held).join(often, ["g", "size", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "k", "size").orderBy("often", "token")))
     rare = ranked.where(F.col("rank") <= F.floor(F.col("lost") + 1e-6) + 1).select("g", "k", "n", "token")
     other = rare.select("g", "token", F.col("k").alias("k2"), F.col("n").alias("n2"))
     near = 2 * F.least("n", "n2") >= (1 - d) * (F.col("n") + F.col("n2")) - 1e-6
-    met = rare.join(other, ["g", "token"]).where((F.col("k") < F.col("k2")) & near).select("g", "k", "k2").distinct()
+    met = _shuffled(rare).join(other, ["g", "token"]).where((F.col("k") < F.col("k2")) & near).select("g", "k", "k2").distinct()
     left, right = each.select("g", "k", F.col("t").alias("ta")), each.select("g", F.col("k").alias("k2"), F.col("t").alias("tb"))
-    scored = met.join(left, ["g", "k"]).join(right, ["g", "k2"]).withColumn("score", ratio("ta", "tb")).where(F.col("score") >= percent - 1e-9)
+    scored = _shuffled(_shuffled(met).join(left, ["g", "k"])).join(right, ["g", "k2"]).withColumn("score", ratio("ta", "tb")).where(F.col("score") >= percent - 1e-9)
     ends = lambda c: known.select("g", F.col("t").alias(f"t{c}"), F.col("k").alias(c))
-    unlike = scored.select("g", "ta", "tb", "score").join(ends("a"), ["g", "ta"]).join(ends("b"), ["g", "tb"]).select("g", "a", "b", "score")
+    unlike = _shuffled(_shuffled(scored.select("g", "ta", "tb", "score")).join(ends("a"), ["g", "ta"])).join(ends("b"), ["g", "tb"]).select("g", "a", "b", "score")
     return unlike.select(F.col("g").alias(group), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
@@ -98,16 +104,16 @@ def first_of_alike(texts: DataFrame, group: str, key: str, text: str, percent: i
     links = pairs(one, "g", "k", "t", percent).select("g", F.col("a").alias("before"), F.col("b").alias("k"))
     links = _kept(spark, place, links, "links")
     linked = links.select("g", "k").distinct()
-    kept = [one.select("g", "k").join(linked, ["g", "k"], "left_anti")]  # nothing like them before
+    kept = [_shuffled(one.select("g", "k")).join(linked, ["g", "k"], "left_anti")]  # nothing like them before
     fresh, turn = kept[0], 0
     while links.limit(1).count():
         turn += 1
-        gone = links.join(fresh.withColumnRenamed("k", "before"), ["g", "before"], "left_semi").select("g", "k").distinct()
+        gone = _shuffled(links).join(fresh.withColumnRenamed("k", "before"), ["g", "before"], "left_semi").select("g", "k").distinct()
         gone = _kept(spark, place, gone, f"gone{turn}")
         # a text that goes holds back none after it; what then has no earlier like text left is taken
-        rest = links.join(gone, ["g", "k"], "left_anti").join(gone.withColumnRenamed("k", "before"), ["g", "before"], "left_anti")
+        rest = _shuffled(_shuffled(links).join(gone, ["g", "k"], "left_anti")).join(gone.withColumnRenamed("k", "before"), ["g", "before"], "left_anti")
         rest = _kept(spark, place, rest, f"rest{turn}")
-        fresh = links.select("g", "k").distinct().join(gone, ["g", "k"], "left_anti").join(rest.select("g", "k").distinct(), ["g", "k"], "left_anti")
+        fresh = _shuffled(_shuffled(links.select("g", "k").distinct()).join(gone, ["g", "k"], "left_anti")).join(rest.select("g", "k").distinct(), ["g", "k"], "left_anti")
         fresh = _kept(spark, place, fresh, f"taken{turn}")
         kept.append(fresh)
         links = rest
@@ -128,4 +134,4 @@ def in_force(rows: DataFrame, group: str, key: str, text: str, start: str, until
     turn = F.concat(F.coalesce(F.date_format(start, "yyyyMMdd"), F.lit("00000000")), F.lit("/"), F.lpad(F.col(key).cast("string"), 20, "0"))
     ordered = live.withColumn("__turn", turn)
     left = first_of_alike(ordered, group, "__turn", text, percent, folder)
-    return ordered.join(left, [group, "__turn"], "left_semi").select(*rows.columns)
+    return _shuffled(ordered).join(left, [group, "__turn"], "left_semi").select(*rows.columns)

@@ -93,3 +93,10 @@ def test_registered_query(spark):
     want = {(g, k[1]) for g, k in greedy(live, 85)}
     got = {(r.rule, r.figure_id) for r in queries.QUERIES["figures_in_force"](spark, d).collect()}
     assert got == want and len(want) < len(live)
+
+
+def test_exploded_tokens_are_not_gathered_at_the_driver(spark):
+    texts = spark.createDataFrame([("x", i, f"at most ${i * 37}.{i % 90:02d}, number {i}") for i in range(300)], "g string, k int, t string").groupBy("g", "k").agg({"t": "max"}).toDF("g", "k", "t")
+    found = similar.pairs(texts, "g", "k", "t", 85)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
