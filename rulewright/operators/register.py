@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 
 def stable_ids(rows: DataFrame, existing: DataFrame, cell: list[str], uid: str, order: list[str]) -> DataFrame:
     """rows with number: the one their uid had in the same cell, else the next free one of the cell by order.
@@ -37,23 +39,59 @@ def merged(rows: DataFrame, cluster: str, rank: list[Column], first: list[str],
     return named.groupBy(cluster).agg(F.count("*").alias("members"), *aggregates)
 
 
-def contradictions(rules: DataFrame, key: str, cell: list[str], document: str, laws: str, value: str) -> DataFrame:
+#: Into how many parts the pairs of one cell are dealt, so that a large cell is not one task's work.
+PARTS = 8
+
+
+def contradictions(rules: DataFrame, key: str, cell: list[str], document: str, laws: str, value: str, touching: DataFrame | None = None) -> DataFrame:
     """(a, b, laws): rules of one cell and at least one law in different documents that state different values.
 
-    The join is on the cell and each law, so rules without a law in common never meet.
+    Laws are counted once for each two sets of laws of a cell, in a join on the cell and each law; rules meet through their
+    sets, so those without a law in common never do, and pairs are neither shuffled nor counted. Only those of a key with
+    several rows are. touching: a table of keys, of which a pair must hold one.
+    """
+    given = F.array_sort(F.array_distinct(F.array_compact(F.col(laws))))
+    rows = rules.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(cell)), F.col(document).alias("doc"), F.col(value).alias("value"), given.alias("laws"))
+    rows = rows.withColumn("many", F.count("*").over(Window.partitionBy("k")) > 1)
+    cells, asked = [f"c{i}" for i in range(len(cell))], F.lit(True)
+    if touching is not None:
+        rows = rows.hint("merge").join(touching.select(F.col(key).alias("k"), F.lit(True).alias("asked")).distinct(), "k", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        rows = rows.hint("merge").join(rows.where("asked").select(*cells).distinct(), cells, "left_semi")  # where none is asked for, none meet
+        asked = F.col("l.asked") | F.col("r.asked")
+    sets = rows.select(*cells, "laws").distinct().withColumn("law", F.explode("laws"))
+    common = sets.join(sets.withColumnRenamed("laws", "its"), [*cells, "law"]).groupBy(*cells, "laws", "its").agg(F.count("*").alias("n"))
+    n = 4 * max(rules.sparkSession.sparkContext.defaultParallelism, int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = [*cells, "its", "part"]
+        one = left.hint("merge").join(common, [*cells, "laws"]).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(PARTS)).cast("int")).drop("laws")
+        other = right.withColumnRenamed("laws", "its").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        apart = (F.col("l.k") < F.col("r.k")) & (F.col("l.doc") != F.col("r.doc")) & (F.col("l.value") != F.col("r.value")) & asked
+        pairs = one.repartition(n, *on).hint("merge").alias("l").join(other.repartition(n, *on).alias("r"), [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in on), apart])
+        return pairs.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), F.col("n").alias("laws"))
+
+    once, often = rows.where("not many"), rows.where("many")
+    rest = met(often, rows).unionByName(met(once, often)).groupBy("a", "b").agg(F.sum("laws").alias("laws"))
+    return met(once, once).unionByName(rest)
+
+
+def new_contradictions(rules: DataFrame, before: DataFrame, key: str, cell: list[str], document: str, laws: str, value: str) -> DataFrame:
+    """(a, b): contradictions among rules that were none among before, the same table at an earlier time.
+
+    Two rules that both stand in before as they are now contradicted each other then as well, so only pairs with a key whose
+    rows have changed are looked for, on both sides.
     """
-    named = rules.where(F.col(value).isNotNull()).select(key, *cell, F.col(document).alias("__doc"), F.col(value).alias("__value"), F.explode(F.array_distinct(laws)).alias("__law"))
-    left, right = named.alias("l"), named.alias("r")
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*cell, "__law")]
-    apart = (F.col(f"l.{key}") < F.col(f"r.{key}")) & (F.col("l.__doc") != F.col("r.__doc")) & (F.col("l.__value") != F.col("r.__value"))
-    pairs = left.join(right, [*on, apart]).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"), F.col("l.__law").alias("law"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("laws"))
+    columns = [key, *cell, document, laws, value]
+    both = rules.select(*columns, F.lit(0).alias("__then")).union(before.select(*columns, F.lit(1)))
+    changed = both.groupBy(*columns).agg(F.min("__then").alias("__first"), F.max("__then").alias("__last")).where("__first = __last").select(key).distinct()
+    found, known = (contradictions(rows, key, cell, document, laws, value, changed).select("a", "b") for rows in (rules, before))
+    return not_yet_known(found, known)
 
 
 def not_yet_known(found: DataFrame, known: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs of found that known holds in neither order."""
-    ordered = lambda df: df.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
-    return ordered(found).join(ordered(known), [a, b], "left_anti")
+    """Pairs of found that known holds in neither order. Few known pairs go to every task, so those found stay where they are."""
+    ordered = lambda df: df.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))
+    return ordered(found).join(small(ordered(known).distinct()), [a, b], "left_anti")
 
 
 def unions_by_law(rules: DataFrame, state: str, level: str, jurisdiction: str, category: str, key: str) -> DataFrame:

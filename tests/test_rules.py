@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import spanish, text
-from rulewright.operators import evidence, merging, rules, status
+from rulewright.operators import evidence, merging, register, rules, status
 from rulewright.sources import readers, writers
 
 
@@ -100,3 +100,41 @@ def test_readers(spark, tmp_path):
     assert not got["2.txt"].ok
     rows = readers.json_records(spark.createDataFrame([('{"k": 1}',), ("{oops",), ("[1]",), (None,)], "line string"), "line").collect()
     assert [r.usable for r in rows] == [True, False, False, False]
+
+
+_PARTS_OF_RULES = "k int, cell string, doc int, laws array<int>, v int"
+
+
+def _contradicting(rows):
+    found = {}
+    for a in rows:
+        for b in rows:
+            if None not in (a[0], b[0], a[1], b[1], a[4], b[4]) and a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and a[4] != b[4]:
+                n = len({x for x in a[3] if x is not None} & {x for x in b[3] if x is not None})
+                if n:
+                    found[a[0], b[0]] = found.get((a[0], b[0]), 0) + n
+    return found
+
+
+_SOME_RULES = [(i, f"c{i % 3}", i % 4, [i % 5, i % 7 + 10, i % 5, None][: i % 5], i % 6 or None) for i in range(60)] + [(7, "c1", 9, [2, 10], 8), (None, "c1", 9, [2], 8), (8, None, 9, [3], 8)]
+
+
+def test_contradictions_of_repeated_keys_and_nulls(spark):
+    rules = spark.createDataFrame(_SOME_RULES, _PARTS_OF_RULES)
+    found = register.contradictions(rules, "k", ["cell"], "doc", "laws", "v")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((*p, n) for p, n in _contradicting(_SOME_RULES).items())
+
+
+def test_contradictions_do_not_shuffle_pairs(spark):
+    rules = spark.createDataFrame(_SOME_RULES[:60], _PARTS_OF_RULES)
+    found = register.contradictions(rules, "k", ["cell"], "doc", "laws", "v")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a" not in plan.split("+- == Initial Plan ==")[0]
+
+
+def test_new_contradictions_of_changed_rules(spark):
+    before = [r if r[0] is None or r[0] % 4 else (*r[:4], 99) for r in _SOME_RULES if r[0] is None or r[0] % 5]
+    frames = (spark.createDataFrame(rows, _PARTS_OF_RULES) for rows in (_SOME_RULES, before))
+    found = register.new_contradictions(*frames, "k", ["cell"], "doc", "laws", "v")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(set(_contradicting(_SOME_RULES)) - set(_contradicting(before)))
