@@ -28,13 +28,11 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], value: str, missi
     return both.select(*keys, told("before"), told("after")).where("not before <=> after")
 
 
-def timeline(facts: DataFrame, keys: list[str], status: Column, dates: DataFrame) -> DataFrame:
-    """Status on each candidate date (column d, keyed) and the day before, where they differ.
+def timeline(facts: DataFrame, status: Column, days: Column) -> DataFrame:
+    """facts with d, before and after: each of their days (an array) on which the status is not that of the day before.
 
-    status reads the column as_of. Each key meets only its own candidate dates.
+    status reads the column as_of. Both days are decided in the row itself, so nothing is shuffled.
     """
-    days = dates.select(*keys, "d", F.explode(F.array(F.date_sub("d", 1), F.col("d"))).alias("as_of")).distinct()
-    seen = facts.join(days, keys).withColumn("status", status)
-    side = lambda when, name: F.max(F.when(when, F.col("status"))).alias(name)
-    both = seen.groupBy(*keys, "d").agg(side(F.col("as_of") < F.col("d"), "before"), side(F.col("as_of") == F.col("d"), "after"))
-    return both.where("before <> after")
+    each = facts.withColumn("d", F.explode(F.array_distinct(days)))
+    at = lambda rows, day, name: rows.withColumn("as_of", day).withColumn(name, status)
+    return at(at(each, F.date_sub("d", 1), "before"), F.col("d"), "after").drop("as_of").where("before <> after")

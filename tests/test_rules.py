@@ -138,3 +138,11 @@ def test_new_contradictions_of_changed_rules(spark):
     frames = (spark.createDataFrame(rows, _PARTS_OF_RULES) for rows in (_SOME_RULES, before))
     found = register.new_contradictions(*frames, "k", ["cell"], "doc", "laws", "v")
     assert sorted(tuple(r) for r in found.collect()) == sorted(set(_contradicting(_SOME_RULES)) - set(_contradicting(before)))
+
+
+def test_timeline_of_repeated_keys_is_decided_in_the_row(spark):
+    rows = spark.createDataFrame([(1, "2000-01-05"), (1, "2000-01-09"), (2, None)], "k int, since string").withColumn("since", F.to_date("since"))
+    days = F.transform(F.array(F.lit("2000-01-05"), F.lit("2000-01-09"), F.lit("2000-01-09"), F.lit(None)), lambda x: x.cast("date"))
+    found = status.timeline(rows, F.when(F.col("since") > F.col("as_of"), "open").otherwise("held"), days)
+    assert sorted((r.k, str(r.since), str(r.d), r.before, r.after) for r in found.collect()) == [(1, day, day, "open", "held") for day in ("2000-01-05", "2000-01-09")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
