@@ -24,6 +24,8 @@ from .common import Scratch, bound, few_broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A run of characters that are no ASCII signs, digits or blanks.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms: cutting a text there takes less time than finding each term, and leaves an empty one at its ends.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that hold a kept term, what is added to each count, the scale, and ranks of terms.
 LEAST_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 
@@ -36,7 +38,7 @@ def lower_ascii(text: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term in every group."""
     text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.sort_array(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("terms"))
+    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.sort_array(F.array_remove(F.split(text, BETWEEN), "")).alias("terms"))
     mark = lambda terms: F.transform(terms, lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get(terms, i - 1) == t), 0).otherwise(1).alias("first")))
     each = rows.select("lang", "source", F.explode(bound(F.col("terms"), mark)).alias("t"))
     return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.sum("t.first").alias("docs"))

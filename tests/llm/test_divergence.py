@@ -49,3 +49,10 @@ def test_counts_beyond_64_bits(spark):
     n, total = 10**13, 10**13 + 3
     assert got["a", "x"] == (1 + 10**9 * (n + 5) // (n + 10), 1 + 10**9 * (n + 5) // (total + 10))
     assert got["b", "x"] == (1 + 10**9 * 5 // 13, got["a", "x"][1]) and got["a", "y"][1] == 1 + 10**9 * 8 // (total + 10)
+
+
+def test_texts_are_cut_between_terms(spark):
+    docs = spark.createDataFrame([(" Beta-alpha, beta ", "en", "a"), ("", "en", "a"), (None, None, None)], "text string, lang string, source string")
+    counts = divergence.term_counts(docs)
+    assert {tuple(r) for r in counts.collect()} == {("en", "a", "alpha", 1, 1), ("en", "a", "beta", 2, 1)}
+    assert "regexp_extract_all" not in counts._jdf.queryExecution().optimizedPlan().toString()
