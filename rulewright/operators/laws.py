@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lower
 from .sizes import MOST
 
 EDGES = "kind string, source string, target string"
@@ -51,24 +52,31 @@ def named(texts: DataFrame, patterns: DataFrame, key: list[str], unless: str | N
     texts: (key, text, place); patterns: (law, pattern, words, place), where words are lower-case words of which every
     match holds all (at least one; a pattern without words finds nothing). A pattern runs only on texts that hold its
     rarest word over all texts. A text that fits ``unless`` names no law. A law of a place is meant only there or,
-    if it is a city's ("City, ST"), in its state; a law without place anywhere. A null text names nothing.
+    if it is a city's ("City, ST"), in its state; a law without place anywhere. A null text names nothing. patterns may have
+    ``holds``: what every match holds once it is in lower case with single spaces; the pattern runs only where a text does.
     """
+    plain = F.lit("")  # what is searched for ``holds``, with the sign that a pattern without regard to case takes for an s
+    if "holds" in patterns.columns:
+        plain = F.translate(lower(F.regexp_replace("text", r"\s+", " ")), "ſ", "s")
+    else:
+        patterns = patterns.withColumn("holds", F.lit(""))
     read = texts.where(F.col("text").isNotNull())
     if unless:
         read = read.where(~F.col("text").rlike(unless))
+    shown = read.select(*key, "text", "place", plain.alias("__plain"))
     wanted = patterns.select("law", F.explode(F.array_distinct("words")).alias("word"))
     few = patterns.limit(MOST + 1).count() <= MOST
     hint = F.broadcast if few else (lambda df: df)
     held = read.select(F.explode(words(F.col("text"))).alias("word"))
     counts = held.join(hint(wanted.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     rarest = wanted.join(counts, "word", "left").groupBy("law").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("w"))
-    index = patterns.select("law", "pattern", F.col("place").alias("__of")).join(rarest.where("w.n > 0").select("law", F.col("w.word").alias("word")), "law")
+    index = patterns.select("law", "pattern", "holds", F.col("place").alias("__of")).join(rarest.where("w.n > 0").select("law", F.col("w.word").alias("word")), "law")
     if few:
-        met = read.select(*key, "text", "place", F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(index), "word")
+        met = shown.select("*", F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(index), "word")
     else:  # only keys and words move; the texts join what was fetched
-        met = read.select(*key, F.explode(words(F.col("text"))).alias("word")).join(index, "word").join(read.select(*key, "text", "place"), key)
+        met = read.select(*key, F.explode(words(F.col("text"))).alias("word")).join(index, "word").join(shown, key)
     there = F.col("__of").isNull() | (F.col("__of") == F.col("place")) | (F.element_at(F.split("__of", ", "), -1) == F.col("place"))
-    return met.where(there).where(F.expr("rlike(text, pattern)")).select(*key, "law").distinct()
+    return met.where(there & F.contains("__plain", F.col("holds"))).where(F.expr("rlike(text, pattern)")).select(*key, "law").distinct()
 
 
 def markers(rules: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def laws_named(spark, d):
     w = F.regexp_extract_all(F.substring("text", 1, 60), F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
     names = table(spark, d, "benchmark").select("item_id", w.alias("w")).where("size(w) >= 4").select("item_id", F.transform(F.slice("w", 2, 2), F.lower).alias("words"))
     form = F.concat(F.lit(r"(?iu)(?<![a-zà-ÿ])"), F.array_join("words", r"\s+"), F.lit("(?![a-zà-ÿ])"))
-    patterns = names.select(F.col("item_id").alias("law"), form.alias("pattern"), "words", F.lit(None).cast("string").alias("place"))
+    patterns = names.select(F.col("item_id").alias("law"), form.alias("pattern"), "words", F.array_join("words", " ").alias("holds"), F.lit(None).cast("string").alias("place"))
     texts = table(spark, d, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("place"))
     return laws.named(texts, patterns, ["doc_id"], None).select("doc_id", F.col("law").alias("item_id"))
 

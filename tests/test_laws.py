@@ -41,6 +41,16 @@ def test_named(spark):
         laws.MOST = before
 
 
+def test_named_runs_patterns_where_their_text_stands(spark):
+    texts = [(1, "The  RENT\n ordinance", None), (2, "rent the ordinance", None), (3, "the ſmall rent ordinance", None)]
+    patterns = [("law", "ordinance", ["ordinance"], None, "the rent ordinance"), ("small", r"(?iu)small\s+rent", ["rent"], None, "small rent")]
+    for most in (laws.MOST, 0):
+        laws.MOST, before = most, laws.MOST
+        got = laws.named(spark.createDataFrame(texts, "id int, text string, place string"), spark.createDataFrame(patterns, "law string, pattern string, words array<string>, place string, holds string"), ["id"])
+        assert sorted((r.id, r.law) for r in got.collect()) == [(1, "law"), (3, "small")]
+        laws.MOST = before
+
+
 def test_marks_are_read_back(spark):
     rules = [
         rule("CA-RENT-1", "state", "CA", "rent", "Does not apply to units under stricter local law."), rule("CA-EVIC-1", "state", "CA", "evict", "A city may not enact any such ordinance."),
