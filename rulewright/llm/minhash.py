@@ -156,7 +156,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         shared = F.array_min(F.array_intersect(f"{x}.bands", f"{y}.bands"))
         return alike(f"{x}.", f"{y}.") & (shared == F.col(f"{x}.key"))
 
-    labels, _ = link_buckets(members, confirm, scratch, reps.select(F.col("doc_id").alias("node"), "bands", *marks), may_link)
+    marked = reps.select(F.col("doc_id").alias("node"), "bands", *marks)
+    labels, _ = link_buckets(members, confirm, scratch, lambda nodes: with_ids(marked, nodes, "node"), may_link)
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", *digest).join(named, digest, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
