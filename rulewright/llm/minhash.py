@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     digest = ["n_shingles", "set_a", "set_b"]
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     reps = scratch.keep(sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *digest], "left_semi").transform(_one_each), "representatives")
-    members = scratch.keep(multiple(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), scratch), "members")
+    members = multiple(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), scratch)
     nodes = scratch.keep(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     texts = scratch.keep(_one_each(with_ids(_texts(docs), nodes, "doc_id")), "texts")
     limit = sketch_limit(percent, bands * rows * OVERSAMPLED)
@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     marked = reps.select(F.col("doc_id").alias("node"), "bands", *marks)
     labels, _ = link_buckets(members, confirm, scratch, lambda nodes: with_ids(marked, nodes, "node"), may_link)
+    scratch.drop(reps, members, nodes, texts)
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", *digest).join(named, digest, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
